@@ -40,7 +40,7 @@ MSG_SEED_NO_GENRES = "The named movie has no genres."
 class RecommendResult:
     """Lazy outputs of one batch: ranked rows and one status row per request."""
 
-    rows: DataFrame      # query_id, rank, movieId, title, genres, score
+    rows: DataFrame      # query_id, rank, movieId, title, genres, score, mode
     status: DataFrame    # query_id, status, message, n_recs, stage
 
     def responses(self) -> DataFrame:
@@ -110,8 +110,8 @@ def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
         F.when(F.col("pre").isNull(), F.coalesce(F.col("n_recs"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_recs"),
         F.when(F.col("pre").isNull(), F.col("stage")).alias("stage"),
     )
-    rows = intents.filter(F.col("ikey").isNotNull()).select("query_id", "ikey").join(
+    rows = intents.filter(F.col("ikey").isNotNull()).select("query_id", "ikey", "mode").join(
         per_intent, on="ikey", how="inner").select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("movieId").cast("int").alias("movieId"),
-        "title", "genres", "score")
+        "title", "genres", "score", "mode")
     return RecommendResult(rows=rows, status=status)
