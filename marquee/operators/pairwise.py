@@ -7,8 +7,9 @@ its gradient is -sigma(-d) for i (+ for j) and its curvature
 sigma(d) * sigma(-d). Per round:
 
 1. per-row gradient g and curvature h: each user group holds at most k rows
-   (the feature step keeps the top 20), so its pairs are summed inside one
-   pandas call per group (``applyInPandas``), never emitted as rows;
+   (the feature step keeps the top 20), so a window hands every row its
+   group's (label, score) list and a higher-order ``aggregate`` sums the
+   pair terms JVM-side; pairs are never emitted as rows;
 2. a regression tree (``ml.regression.DecisionTreeRegressor``, depth 6,
    weight h) is fitted to -g/h on a hash sample of rows and a random subset
    of the features, i.e. leaf = -sum g / sum h (a Newton step);
@@ -23,11 +24,9 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,20 +53,46 @@ def pair_counts(features: DataFrame, group_col: str = "userId", label_col: str =
         ((F.sum("_nl") * F.sum("_nl") - F.sum(F.col("_nl") * F.col("_nl"))) / 2).cast("long").alias("n_pairs"))
 
 
-def _pair_grads(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum of pairwise logistic gradient / curvature per row of one group."""
-    y = pdf["label"].to_numpy(dtype=float)
-    s = pdf["score"].to_numpy(dtype=float)
-    better = (y[:, None] > y[None, :]).astype(float)          # i should beat j
-    d = s[:, None] - s[None, :]
-    p = 1.0 / (1.0 + np.exp(np.clip(d, -50, 50)))              # sigma(-d)
-    hess = p * (1.0 - p)
-    g = -(better * p).sum(axis=1) + (better * p).sum(axis=0)
-    h = (better * hess).sum(axis=1) + (better * hess).sum(axis=0)
-    out = pdf.copy()
-    out["g"] = g
-    out["h"] = h
-    return out
+def _group_list() -> Column:
+    """The user's (label, score) list: at most k rows per user (top-k step)."""
+    w = Window.partitionBy("userId")
+    return F.collect_list(F.struct(F.col("label").alias("y"), F.col("score").alias("s"))).over(w)
+
+
+def _sig_neg(d: Column) -> Column:
+    """sigma(-d) = 1 / (1 + e^d), clipped against overflow."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(F.greatest(d, F.lit(-50.0)), F.lit(50.0))))
+
+
+def with_pair_gradients(state: DataFrame) -> DataFrame:
+    """Adds g, h: sums over the row's label-ordered pairs inside its group.
+
+    Computed by a window over the user's bounded list and a higher-order
+    ``aggregate`` (JVM-side); pairs are never materialised as rows.
+    """
+    y, s = F.col("label"), F.col("score")
+
+    def g_step(acc, x):
+        return acc + F.when(y > x.y, -_sig_neg(s - x.s)).when(y < x.y, _sig_neg(x.s - s)).otherwise(F.lit(0.0))
+
+    def h_step(acc, x):
+        p = _sig_neg(F.abs(s - x.s) * F.when(y > x.y, 1.0).otherwise(-1.0))
+        return acc + F.when(y != x.y, p * (F.lit(1.0) - p)).otherwise(F.lit(0.0))
+
+    lst = _group_list()
+    return state.withColumn("_grp", lst).withColumn(
+        "g", F.aggregate("_grp", F.lit(0.0), g_step)).withColumn(
+        "h", F.aggregate("_grp", F.lit(0.0), h_step)).drop("_grp")
+
+
+def pair_accuracy(scored: DataFrame) -> float:
+    """Share of label-ordered pairs whose scores are ordered the same way."""
+    y, s = F.col("label"), F.col("score")
+    per_row = scored.withColumn("_grp", _group_list()).select(
+        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when(y > x.y, 1).otherwise(0)).alias("n"),
+        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when((y > x.y) & (s > x.s), 1).otherwise(0)).alias("ok"))
+    res = per_row.agg(F.sum("n").alias("n"), F.sum("ok").alias("ok")).first()
+    return float(res["ok"]) / float(res["n"]) if res["n"] else 0.0
 
 
 @dataclass
@@ -120,19 +145,6 @@ class PairwiseRanker:
         return total
 
 
-def _pair_accuracy(scored: DataFrame) -> float:
-    """Share of label-ordered pairs the scores order correctly (one job)."""
-    def acc(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf["label"].to_numpy(dtype=float)
-        s = pdf["score"].to_numpy(dtype=float)
-        better = y[:, None] > y[None, :]
-        right = (s[:, None] > s[None, :]) & better
-        return pd.DataFrame({"n": [int(better.sum())], "ok": [int(right.sum())]})
-    res = scored.groupBy("userId").applyInPandas(acc, "n long, ok long").agg(
-        F.sum("n").alias("n"), F.sum("ok").alias("ok")).first()
-    return float(res["ok"]) / float(res["n"]) if res["n"] else 0.0
-
-
 def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: float = LEARNING_RATE,
                    max_depth: int = MAX_DEPTH, subsample: float = SUBSAMPLE, colsample: float = COLSAMPLE,
                    seed: int = 42, feature_cols=FEATURE_COLUMNS, track_accuracy: bool = False) -> PairwiseRanker:
@@ -142,15 +154,14 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
     base = (features.select("userId", *[F.col(c).cast("double").alias(c) for c in cols],
                             F.col("label").cast("double").alias("label"))
             .withColumn("rid", F.monotonically_increasing_id()))
-    state = cut_lineage(base.withColumn("score", F.lit(0.0)))
+    # Partitioned by user once; checkpoints keep that layout, so the per-round
+    # group windows need no shuffle.
+    state = cut_lineage(base.withColumn("score", F.lit(0.0)).repartition("userId"))
     trees: list[tuple[list[str], Tree]] = []
     history: list[dict] = []
     n_cols = max(1, int(round(colsample * len(cols))))
     for r in range(n_trees):
-        # Gradients come back with the rows themselves: no join on the row id.
-        out_schema = T.StructType(state.schema.fields + [T.StructField("g", T.DoubleType()),
-                                                          T.StructField("h", T.DoubleType())])
-        rows = state.groupBy("userId").applyInPandas(_pair_grads, out_schema).filter(F.col("h") > 0)
+        rows = with_pair_gradients(state).filter(F.col("h") > 0)
         bucket = F.abs(F.xxhash64(F.col("rid"), F.lit(seed + r))) % 10000
         sample = rows.filter(bucket < int(subsample * 10000)).withColumn("target", -F.col("g") / F.col("h"))
         use = sorted(rng.sample(range(len(cols)), n_cols))
@@ -164,7 +175,7 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
         if (r + 1) % CHECKPOINT_EVERY == 0 or r == n_trees - 1:
             state = cut_lineage(state)
         if track_accuracy:
-            history.append({"round": r + 1, "pair_accuracy": _pair_accuracy(state)})
+            history.append({"round": r + 1, "pair_accuracy": pair_accuracy(state)})
     return PairwiseRanker(cols, trees, learning_rate, history)
 
 
