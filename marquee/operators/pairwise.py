@@ -156,7 +156,8 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
             .withColumn("rid", F.monotonically_increasing_id()))
     # Partitioned by user once; checkpoints keep that layout, so the per-round
     # group windows need no shuffle.
-    state = cut_lineage(base.withColumn("score", F.lit(0.0)).repartition("userId"))
+    n_parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = cut_lineage(base.withColumn("score", F.lit(0.0)).repartition(n_parts, "userId"))
     trees: list[tuple[list[str], Tree]] = []
     history: list[dict] = []
     n_cols = max(1, int(round(colsample * len(cols))))
@@ -166,9 +167,13 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
         sample = rows.filter(bucket < int(subsample * 10000)).withColumn("target", -F.col("g") / F.col("h"))
         use = sorted(rng.sample(range(len(cols)), n_cols))
         use_cols = [cols[i] for i in use]
-        vec = VectorAssembler(inputCols=use_cols, outputCol="features").transform(sample)
+        # The tree learner passes over its input several times: cache it for
+        # the fit only (a lost block is recomputed from the short lineage).
+        vec = VectorAssembler(inputCols=use_cols, outputCol="features").transform(sample) \
+            .select("features", "target", "h").cache()
         model = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="h",
                                       maxDepth=max_depth, seed=seed + r).fit(vec)
+        vec.unpersist()
         tree = _extract_tree(model)
         trees.append((use_cols, tree))
         state = state.withColumn("score", F.col("score") + F.lit(learning_rate) * tree.to_column(use_cols))

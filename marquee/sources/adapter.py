@@ -102,18 +102,33 @@ def als_standin(ratings: DataFrame, top: int = ALS_STANDIN_TOP) -> DataFrame:
 
 @dataclass
 class DriverTables:
-    """Lazily derived tables over one scale-factor folder."""
+    """Lazily derived tables over one scale-factor folder.
+
+    Tables read several times by a job (ratings, hybrid, candidates)
+    are written once as Parquet below the session's shared checkpoint folder
+    and read back: later reads prune columns and push filters into the scan,
+    run one task per file, and a lost executor never recomputes the chain
+    (the reference persists the same tables as Parquet). ``materialize=False``
+    keeps everything as one lazy plan.
+    """
 
     spark: SparkSession
     sf_dir: str
+    materialize: bool = True
     _cache: dict = field(default_factory=dict)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
 
-    def _memo(self, key, build):
+    def _memo(self, key, build, persist: bool = False):
         if key not in self._cache:
-            self._cache[key] = build()
+            df = build()
+            if persist and self.materialize:
+                from marquee.session import shared_dir
+                path = shared_dir(self.spark, key)
+                df.write.mode("overwrite").parquet(path)
+                df = self.spark.read.parquet(path)
+            self._cache[key] = df
         return self._cache[key]
 
     @property
@@ -122,7 +137,8 @@ class DriverTables:
 
     @property
     def ratings(self) -> DataFrame:
-        return self._memo("ratings", lambda: ratings_from_lineitem(self.raw("lineitem"), self.raw("orders")))
+        return self._memo("ratings", lambda: ratings_from_lineitem(self.raw("lineitem"), self.raw("orders")),
+                          persist=True)
 
     @property
     def tags(self) -> DataFrame:
@@ -134,18 +150,19 @@ class DriverTables:
 
     @property
     def als_candidates(self) -> DataFrame:
-        return self._memo("als", lambda: als_standin(self.ratings))
+        return self._memo("als", lambda: als_standin(self.ratings), persist=True)
 
     @property
     def hybrid(self) -> DataFrame:
         from marquee.operators.hybrid import build_hybrid
-        return self._memo("hybrid", lambda: build_hybrid(self.ratings, self.movies, self.tags))
+        return self._memo("hybrid", lambda: build_hybrid(self.ratings, self.movies, self.tags), persist=True)
 
     @property
     def ranking(self) -> DataFrame:
         from marquee.operators.hybrid import build_ranking
+        # Read once per job: kept lazy (the fan-out is never written here).
         return self._memo("ranking", lambda: build_ranking(self.als_candidates, self.hybrid))
 
 
-def driver_tables(spark: SparkSession, sf_dir: str) -> DriverTables:
-    return DriverTables(spark, sf_dir)
+def driver_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DriverTables:
+    return DriverTables(spark, sf_dir, materialize)
