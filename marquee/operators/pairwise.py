@@ -85,6 +85,21 @@ def with_pair_gradients(state: DataFrame) -> DataFrame:
         "h", F.aggregate("_grp", F.lit(0.0), h_step)).drop("_grp")
 
 
+def pair_loss(scored: DataFrame) -> float:
+    """Mean pairwise logistic loss log(1 + e^-(s_i - s_j)) over ordered pairs."""
+    y, s = F.col("label"), F.col("score")
+
+    def step(acc, x):
+        d = s - x.s
+        return acc + F.when(y > x.y, F.log1p(F.exp(-d))).otherwise(F.lit(0.0))
+
+    per_row = scored.withColumn("_grp", _group_list()).select(
+        F.aggregate("_grp", F.lit(0.0), step).alias("loss"),
+        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when(y > x.y, 1).otherwise(0)).alias("n"))
+    res = per_row.agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
+    return float(res["loss"]) / float(res["n"]) if res["n"] else 0.0
+
+
 def pair_accuracy(scored: DataFrame) -> float:
     """Share of label-ordered pairs whose scores are ordered the same way."""
     y, s = F.col("label"), F.col("score")
@@ -180,7 +195,7 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
         if (r + 1) % CHECKPOINT_EVERY == 0 or r == n_trees - 1:
             state = cut_lineage(state)
         if track_accuracy:
-            history.append({"round": r + 1, "pair_accuracy": pair_accuracy(state)})
+            history.append({"round": r + 1, "pair_accuracy": pair_accuracy(state), "pair_loss": pair_loss(state)})
     return PairwiseRanker(cols, trees, learning_rate, history)
 
 
