@@ -85,29 +85,26 @@ def with_pair_gradients(state: DataFrame) -> DataFrame:
         "h", F.aggregate("_grp", F.lit(0.0), h_step)).drop("_grp")
 
 
-def pair_loss(scored: DataFrame) -> float:
-    """Mean pairwise logistic loss log(1 + e^-(s_i - s_j)) over ordered pairs."""
-    y, s = F.col("label"), F.col("score")
-
-    def step(acc, x):
-        d = s - x.s
-        return acc + F.when(y > x.y, F.log1p(F.exp(-d))).otherwise(F.lit(0.0))
+def pair_metrics(scored: DataFrame) -> dict:
+    """Pair accuracy and mean pairwise logistic loss, in one pass.
 
+    accuracy = share of label-ordered pairs (y_i > y_j) with s_i > s_j;
+    loss = mean of log(1 + e^-(s_i - s_j)) over the same pairs.
+    """
+    y, s = F.col("label"), F.col("score")
     per_row = scored.withColumn("_grp", _group_list()).select(
-        F.aggregate("_grp", F.lit(0.0), step).alias("loss"),
-        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when(y > x.y, 1).otherwise(0)).alias("n"))
-    res = per_row.agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
-    return float(res["loss"]) / float(res["n"]) if res["n"] else 0.0
+        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when(y > x.y, 1).otherwise(0)).alias("n"),
+        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when((y > x.y) & (s > x.s), 1).otherwise(0)).alias("ok"),
+        F.aggregate("_grp", F.lit(0.0),
+                    lambda a, x: a + F.when(y > x.y, F.log1p(F.exp(x.s - s))).otherwise(F.lit(0.0))).alias("loss"))
+    res = per_row.agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("loss").alias("loss")).first()
+    if not res["n"]:
+        return {"pair_accuracy": 0.0, "pair_loss": 0.0}
+    return {"pair_accuracy": float(res["ok"]) / res["n"], "pair_loss": float(res["loss"]) / res["n"]}
 
 
 def pair_accuracy(scored: DataFrame) -> float:
-    """Share of label-ordered pairs whose scores are ordered the same way."""
-    y, s = F.col("label"), F.col("score")
-    per_row = scored.withColumn("_grp", _group_list()).select(
-        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when(y > x.y, 1).otherwise(0)).alias("n"),
-        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when((y > x.y) & (s > x.s), 1).otherwise(0)).alias("ok"))
-    res = per_row.agg(F.sum("n").alias("n"), F.sum("ok").alias("ok")).first()
-    return float(res["ok"]) / float(res["n"]) if res["n"] else 0.0
+    return pair_metrics(scored)["pair_accuracy"]
 
 
 @dataclass
@@ -195,7 +192,7 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
         if (r + 1) % CHECKPOINT_EVERY == 0 or r == n_trees - 1:
             state = cut_lineage(state)
         if track_accuracy:
-            history.append({"round": r + 1, "pair_accuracy": pair_accuracy(state), "pair_loss": pair_loss(state)})
+            history.append({"round": r + 1, **pair_metrics(state)})
     return PairwiseRanker(cols, trees, learning_rate, history)
 
 

@@ -26,6 +26,7 @@ from marquee.functions.text import GENRE_VOCAB, extract_genres, requested_genres
 from marquee.operators.rank import enrich_with_movies
 from marquee.operators.retrieve import TOP_K, item_scores, resolve_intents
 from marquee.operators.titles import attach_titles
+from marquee.session import shared_dir
 
 # --- fixed values: status messages (own wording) ----------------------------
 MSG_MISSING = "Please provide a movie title or genre."
@@ -83,13 +84,24 @@ def request_intents(queries: DataFrame, movies: DataFrame, vocab=GENRE_VOCAB) ->
 
 def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
                     als_candidates: DataFrame, k: int = TOP_K, vocab=GENRE_VOCAB,
-                    scores: DataFrame | None = None) -> RecommendResult:
+                    scores: DataFrame | None = None, persist_intents: bool = True) -> RecommendResult:
     """Recommendations for every request of ``queries``.
 
     ``scores`` (item scores) can be passed in when several batches reuse one
     catalog; it is otherwise derived from hybrid + candidates.
+
+    The per-request intent table feeds both the distinct-intent resolution
+    and the fan-out back to requests; it is written once below the shared
+    checkpoint folder (``persist_intents``) instead of being recomputed per
+    consumer. A repartition by intent key would let the two consumers share
+    a shuffle, but would put a hot intent's requests into one task.
     """
     intents = request_intents(queries, movies, vocab)
+    if persist_intents:
+        spark = queries.sparkSession
+        path = shared_dir(spark, "intents")
+        intents.write.mode("overwrite").parquet(path)
+        intents = spark.read.parquet(path)
     if scores is None:
         scores = item_scores(hybrid, als_candidates)
     distinct_intents = intents.filter(F.col("ikey").isNotNull()).select(

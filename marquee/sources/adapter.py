@@ -164,5 +164,17 @@ class DriverTables:
         return self._memo("ranking", lambda: build_ranking(self.als_candidates, self.hybrid))
 
 
-def driver_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DriverTables:
-    return DriverTables(spark, sf_dir, materialize)
+_SESSION_TABLES: dict = {}
+
+
+def driver_tables(spark: SparkSession, sf_dir: str, materialize: bool = True,
+                  reuse: bool = True) -> DriverTables:
+    """Derived tables of ``sf_dir``. With ``reuse`` one instance serves every
+    job of the session, so the persisted tables (like the reference's
+    offline Parquet tables) are built once, by the first job needing them."""
+    if not (reuse and materialize):
+        return DriverTables(spark, sf_dir, materialize)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _SESSION_TABLES:
+        _SESSION_TABLES[key] = DriverTables(spark, sf_dir, materialize)
+    return _SESSION_TABLES[key]
