@@ -38,13 +38,22 @@ def title_lookup(movies: DataFrame) -> DataFrame:
                       F.col("_last.genres").alias("genres"), "first_pos")
 
 
-def _request_grams(texts: DataFrame, k: int) -> DataFrame:
-    """(qn, pos, gram) for every position and every length 1..k."""
+def _request_grams(texts: DataFrame, k: int, key_lengths: DataFrame) -> DataFrame:
+    """(qn, pos, gram) for every position, for length k and for each shorter
+    length some title key has.
+
+    ``key_lengths`` holds the distinct key lengths below k (at most k - 1
+    rows, a proven bound, so it is broadcast): without short titles each
+    position emits one gram, and short grams such as "e", hot in every
+    text, are never shuffled unless a title of that length exists.
+    """
     n = F.length("qn")
     with_pos = texts.filter(n > 0).select("qn", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
     lens = F.sequence(F.lit(1), F.least(F.lit(k), F.length("qn") - F.col("pos") + 1))
-    return with_pos.select("qn", "pos", F.explode(lens).alias("_j")) \
-        .select("qn", "pos", F.substring("qn", F.col("pos"), F.col("_j")).alias("gram"))
+    grams = with_pos.select("qn", "pos", F.explode(lens).alias("_j"))
+    short = grams.filter(F.col("_j") < k).join(F.broadcast(key_lengths), on="_j", how="left_semi")
+    full = grams.filter(F.col("_j") == k)
+    return full.unionByName(short).select("qn", "pos", F.substring("qn", F.col("pos"), F.col("_j")).alias("gram"))
 
 
 def best_title_per_text(texts: DataFrame, lookup: DataFrame, k: int = GRAM_LENGTH) -> DataFrame:
@@ -52,7 +61,8 @@ def best_title_per_text(texts: DataFrame, lookup: DataFrame, k: int = GRAM_LENGT
     winning title, or no row when no non-empty title is contained."""
     keys = lookup.filter(F.col("klen") > 0).select(
         F.substring("key", 1, k).alias("gram"), "key", "klen", "movieId", "genres", "first_pos")
-    grams = _request_grams(texts, k)
+    key_lengths = keys.filter(F.col("klen") < k).select(F.col("klen").alias("_j")).distinct()
+    grams = _request_grams(texts, k, key_lengths)
     hits = grams.join(keys, on="gram", how="inner").filter(
         F.substring(F.col("qn"), F.col("pos"), F.col("klen")) == F.col("key"))
     # Highest (length, -first_pos) wins; a partial max runs before the shuffle.
@@ -66,29 +76,32 @@ def best_title_per_text(texts: DataFrame, lookup: DataFrame, k: int = GRAM_LENGT
 def attach_titles(requests: DataFrame, movies: DataFrame, text_col: str = "text",
                   k: int = GRAM_LENGTH) -> DataFrame:
     """``requests`` plus (movieId, genres, title_key) of the named title, or
-    nulls. All request columns are carried through one join on the
-    normalised text (no second join on the request id).
+    nulls. All request columns are carried through one join on the text
+    (no second join on the request id).
 
-    Requests are reduced to distinct normalised texts first, so a text sent
-    by a third of all users is matched once; the per-text winners (one row
-    per text) join back, broadcast by AQE when small, else a shuffle join
+    Requests are reduced to distinct texts first, so a text sent by a third
+    of all users is normalised and matched once; the per-text winners (one
+    row per text) join back, broadcast by AQE when small, else a shuffle join
     whose hot text partitions AQE splits. Null or empty texts never match.
     """
     text = F.col(text_col)
     valid = text.isNotNull() & (text != "")
-    q = requests.withColumn("_qn", F.when(valid, normalize_title(text_col)))
     lookup = title_lookup(movies)
-    texts = q.select(F.col("_qn").alias("qn")).filter(F.col("qn").isNotNull()).distinct()
-    best = best_title_per_text(texts, lookup, k).withColumnRenamed("qn", "_qn")
+    # Distinct raw texts first: a text sent by many users is normalised and
+    # matched once, and the regex work runs after the dedup shuffle.
+    raw = requests.select(text.alias("_text")).filter(F.col("_text").isNotNull() & (F.col("_text") != "")) \
+        .distinct().withColumn("qn", normalize_title("_text"))
+    best = best_title_per_text(raw.select("qn").distinct(), lookup, k)
     # The empty key is one row at most: a scalar subquery, no join.
     empty = lookup.filter(F.col("klen") == 0).agg(
         F.max(F.struct("movieId", "genres", F.col("key").alias("title_key"))).alias("e")).scalar()
-    joined = q.join(best, on="_qn", how="left")
-    picked = (F.when(F.col("movieId").isNotNull(),
-                     F.struct(F.col("movieId"), F.col("genres"), F.col("title_key")))
-              .when(F.col("_qn").isNotNull(), empty))
-    base_cols = [c for c in requests.columns]
-    return joined.select(*base_cols, picked.alias("_m")).select(
+    per_text = raw.join(best, on="qn", how="left").select(
+        "_text", F.when(F.col("movieId").isNotNull(),
+                        F.struct(F.col("movieId"), F.col("genres"), F.col("title_key"))).otherwise(empty).alias("_m"))
+    base_cols = list(requests.columns)
+    joined = requests.join(per_text, requests[text_col] == per_text["_text"], "left")
+    picked = F.when(valid, F.col("_m"))
+    return joined.select(*[requests[c] for c in base_cols], picked.alias("_m")).select(
         *base_cols, F.col("_m.movieId").alias("movieId"), F.col("_m.genres").alias("genres"),
         F.col("_m.title_key").alias("title_key"))
 
