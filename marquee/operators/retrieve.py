@@ -53,11 +53,25 @@ def aggregate_candidates(candidates: DataFrame, item_aggregates: DataFrame) -> D
             .select("movieId", "genres", "als", "rating", "count"))
 
 
-def item_scores(hybrid: DataFrame, als_candidates: DataFrame) -> DataFrame:
-    """(movieId, genres, als, rating, count, score_title, score_genre)."""
+def item_scores(hybrid: DataFrame, als_candidates: DataFrame, ranker=None,
+                intent_weight: float = 1.0) -> DataFrame:
+    """(movieId, genres, als, rating, count, score_title, score_genre).
+
+    With a trained ``ranker`` (operators.pairwise) both modes use its score
+    of the item's (ALS_score, avg_rating, rating_count), sanitised and
+    multiplied by the clamped intent weight; the trees are SQL expressions,
+    so this stays JVM-side.
+    """
     agg = aggregate_candidates(candidate_items(hybrid), ranking_item_scores(als_candidates, hybrid))
-    return agg.select("*", score_item_mode("als", "rating", "count").alias("score_title"),
-                      score_genre_mode("rating", "count").alias("score_genre"))
+    if ranker is None:
+        return agg.select("*", score_item_mode("als", "rating", "count").alias("score_title"),
+                          score_genre_mode("rating", "count").alias("score_genre"))
+    from marquee.functions.scores import clamp_weight, sanitize
+    feats = agg.select("*", F.col("als").alias("ALS_score"), F.col("rating").alias("avg_rating"),
+                       F.col("count").cast("double").alias("rating_count"))
+    model = sanitize(ranker.raw_score()) * clamp_weight(F.lit(float(intent_weight)))
+    return feats.select("movieId", "genres", "als", "rating", "count", model.alias("score_title"),
+                        model.alias("score_genre"))
 
 
 def _long_scores(scores: DataFrame) -> DataFrame:

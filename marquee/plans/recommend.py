@@ -84,11 +84,13 @@ def request_intents(queries: DataFrame, movies: DataFrame, vocab=GENRE_VOCAB) ->
 
 def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
                     als_candidates: DataFrame, k: int = TOP_K, vocab=GENRE_VOCAB,
-                    scores: DataFrame | None = None, persist_intents: bool = True) -> RecommendResult:
+                    scores: DataFrame | None = None, persist_intents: bool = True,
+                    ranker=None) -> RecommendResult:
     """Recommendations for every request of ``queries``.
 
     ``scores`` (item scores) can be passed in when several batches reuse one
-    catalog; it is otherwise derived from hybrid + candidates.
+    catalog; it is otherwise derived from hybrid + candidates, with the
+    linear scores, or with a trained pairwise ``ranker`` when given.
 
     The per-request intent table feeds both the distinct-intent resolution
     and the fan-out back to requests; it is written once below the shared
@@ -103,7 +105,7 @@ def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
         intents.write.mode("overwrite").parquet(path)
         intents = spark.read.parquet(path)
     if scores is None:
-        scores = item_scores(hybrid, als_candidates)
+        scores = item_scores(hybrid, als_candidates, ranker=ranker)
     distinct_intents = intents.filter(F.col("ikey").isNotNull()).select(
         "ikey", "seed_id", "mode", "rkey", "req").distinct()
     resolved = resolve_intents(distinct_intents, scores, k).withColumnRenamed("okey", "score")
