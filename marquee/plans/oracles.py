@@ -317,3 +317,20 @@ GROUP BY a.userId"""),
 }
 
 ORACLES["training_rows_by_user"] = ORACLES["topk_features_per_user"]
+
+_UTILITY = """
+SELECT userId, movieId, label, pow(2.0, CAST(label AS DOUBLE) * 400) * (avg_rating - 3.0) AS raw FROM (
+  SELECT userId, movieId, coalesce(ALS_score, 0) AS ALS_score, coalesce(avg_rating, 0) AS avg_rating,
+         coalesce(rating_count, 0) AS rating_count, coalesce(label, 0) AS label FROM ranking)
+QUALIFY row_number() OVER (PARTITION BY userId ORDER BY ALS_score DESC, movieId ASC, label DESC) <= 20"""
+ORACLES["score_candidates"] = with_base(
+    "SELECT movieId, genres, round(score_title, 6) AS score_title, round(score_genre, 6) AS score_genre FROM scored")
+ORACLES["sanitize_scores"] = with_base(f"""
+SELECT userId, movieId, label, CASE WHEN isnan(raw) OR isinf(raw) THEN 0.0 ELSE raw END AS score
+FROM ({_UTILITY})""")
+ORACLES["weighted_scores"] = with_base(f"""
+SELECT userId, movieId, label,
+       CASE WHEN isnan(raw) OR isinf(raw) THEN 0.0 ELSE raw END
+       * CASE WHEN isnan(label - 1) OR label IS NULL THEN 1e-6 ELSE greatest(1e-6, CAST(label - 1 AS DOUBLE)) END
+       AS weighted_score
+FROM ({_UTILITY})""")

@@ -140,6 +140,12 @@ def score_genre_mode(spark, sf):
     return _scores(spark, sf).select("movieId", "genres", F.round("score_genre", 6).alias("score"))
 
 
+def score_candidates(spark, sf):
+    """Candidates ⟕ ranking aggregates (pre-aggregated per movie), both modes."""
+    return _scores(spark, sf).select("movieId", "genres", F.round("score_title", 6).alias("score_title"),
+                                     F.round("score_genre", 6).alias("score_genre"))
+
+
 def topk_global(spark, sf):
     s = _scores(spark, sf).select("movieId", "genres", F.col("score_genre").alias("score"))
     return top_k(s).select(F.col("rank").cast("int").alias("rank"), "movieId", "genres", _r6("score"))
@@ -292,6 +298,29 @@ def ranker_group_sizes(spark, sf):
     return features.group_sizes(features.ranker_features(driver_tables(spark, sf).ranking))
 
 
+def _utility(spark, sf):
+    """An unguarded exponential utility of the feature rows,
+    2^(400 label) x (avg_rating - 3): labels >= 3 overflow to +/-inf, or to
+    NaN when avg_rating is exactly 3 (power-of-two scaling keeps finite
+    values exact in any engine)."""
+    f = features.ranker_features(driver_tables(spark, sf).ranking)
+    raw = F.pow(F.lit(2.0), F.col("label").cast("double") * 400) * (F.col("avg_rating") - 3.0)
+    return f.select("userId", "movieId", "label", raw.alias("raw"))
+
+
+def sanitize_scores(spark, sf):
+    from marquee.functions.scores import sanitize
+    return _utility(spark, sf).select("userId", "movieId", "label", sanitize("raw").alias("score"))
+
+
+def weighted_scores(spark, sf):
+    """Sanitised utility x per-row intent weight (label - 1), clamped at 1e-6."""
+    from marquee.functions.scores import clamp_weight, sanitize
+    u = _utility(spark, sf)
+    return u.select("userId", "movieId", "label",
+                    (sanitize("raw") * clamp_weight(F.col("label") - 1)).alias("weighted_score"))
+
+
 def ranker_pairs(spark, sf):
     from marquee.operators.pairwise import pair_counts
     counts = pair_counts(features.ranker_features(driver_tables(spark, sf).ranking))
@@ -320,6 +349,9 @@ QUERIES: dict[str, Query] = {
     "aggregate_candidates": aggregate_candidates,
     "score_item_mode": score_item_mode,
     "score_genre_mode": score_genre_mode,
+    "score_candidates": score_candidates,
+    "sanitize_scores": sanitize_scores,
+    "weighted_scores": weighted_scores,
     "topk_global": topk_global,
     "enrich_topk": enrich_topk,
     "normalize_titles": normalize_titles,
