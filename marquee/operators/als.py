@@ -16,6 +16,8 @@ REG_PARAM = 0.1
 CANDIDATES_PER_USER = 50
 # ---------------------------------------------------------------------------
 SEED = 42
+# Factor lineage is cut every 10 iterations (MLlib's default interval).
+CHECKPOINT_INTERVAL = 10
 
 
 def fit_als(hybrid: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER, reg_param: float = REG_PARAM,
@@ -25,13 +27,17 @@ def fit_als(hybrid: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER, reg_p
     The rows keep the tag repetition of the hybrid table (reference parity).
     ALS shuffles factor blocks per half-iteration and checkpoints its
     lineage to the session's shared checkpoint folder (executor loss safe).
+
+    User and item blocks default to the cluster's parallelism: MLlib's own
+    default of 10 blocks would run each half-iteration in 10 tasks however
+    many executors there are.
     """
-    checkpoint_dir(hybrid.sparkSession)
+    spark = hybrid.sparkSession
+    checkpoint_dir(spark)
+    blocks = num_blocks or max(1, spark.sparkContext.defaultParallelism)
     als = ALS(userCol="userId", itemCol="movieId", ratingCol="rating", coldStartStrategy="drop",
               nonnegative=True, rank=rank, maxIter=max_iter, regParam=reg_param, seed=seed,
-              checkpointInterval=5)
-    if num_blocks:
-        als = als.setNumBlocks(num_blocks)
+              checkpointInterval=CHECKPOINT_INTERVAL, numUserBlocks=blocks, numItemBlocks=blocks)
     return als.fit(als_triples(hybrid))
 
 

@@ -109,11 +109,11 @@ def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
     distinct_intents = intents.filter(F.col("ikey").isNotNull()).select(
         "ikey", "seed_id", "mode", "rkey", "req").distinct()
     resolved = resolve_intents(distinct_intents, scores, k).withColumnRenamed("okey", "score")
-    per_intent = enrich_with_movies(resolved.select("ikey", "rank", "movieId", "genres", "score"),
+    # Every row of an intent carries the same (chosen) stage, so the status
+    # counts and the stage come from one aggregate over the enriched rows.
+    per_intent = enrich_with_movies(resolved.select("ikey", "rank", "movieId", "genres", "score", "stage"),
                                     movies, ["ikey"])
-    stage = resolved.groupBy("ikey").agg(F.min("stage").alias("stage"),
-                                         F.count(F.lit(1)).alias("_n"))
-    n_recs = per_intent.groupBy("ikey").agg(F.count(F.lit(1)).alias("n_recs")).join(stage, "ikey")
+    n_recs = per_intent.groupBy("ikey").agg(F.count(F.lit(1)).alias("n_recs"), F.min("stage").alias("stage"))
 
     status = intents.join(n_recs, on="ikey", how="left").select(
         "query_id",

@@ -226,7 +226,7 @@ def retrieve_seed_excluded(spark, sf):
 
 def _recommend(spark, sf):
     t = driver_tables(spark, sf)
-    return recommend_batch(t.queries, t.movies, t.hybrid, t.als_candidates)
+    return recommend_batch(t.queries, t.movies, t.hybrid, t.als_candidates, scores=t.item_scores)
 
 
 def recall_stage(spark, sf):

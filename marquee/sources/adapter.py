@@ -157,6 +157,13 @@ class DriverTables:
         from marquee.operators.hybrid import build_hybrid
         return self._memo("hybrid", lambda: build_hybrid(self.ratings, self.movies, self.tags), persist=True)
 
+    @property
+    def item_scores(self) -> DataFrame:
+        """Per (movieId, genres): ranking aggregates and both mode scores.
+        Request-independent, so every batch of requests reads it."""
+        from marquee.operators.retrieve import item_scores
+        return self._memo("item_scores", lambda: item_scores(self.hybrid, self.als_candidates), persist=True)
+
     @property
     def ranking(self) -> DataFrame:
         from marquee.operators.hybrid import build_ranking
