@@ -285,17 +285,17 @@ def explode_recommendations(spark, sf):
 
 # ---------------------------------------------------------------- ranker features
 def topk_features_per_user(spark, sf):
-    f = features.ranker_features(driver_tables(spark, sf).ranking)
+    f = driver_tables(spark, sf).ranker_features
     return f.select("userId", "movieId", _r6("ALS_score"), _r6("avg_rating"), "rating_count", "label")
 
 
 def training_rows_by_user(spark, sf):
-    f = features.rows_by_user(features.ranker_features(driver_tables(spark, sf).ranking))
+    f = features.rows_by_user(driver_tables(spark, sf).ranker_features)
     return f.select("userId", "movieId", _r6("ALS_score"), _r6("avg_rating"), "rating_count", "label")
 
 
 def ranker_group_sizes(spark, sf):
-    return features.group_sizes(features.ranker_features(driver_tables(spark, sf).ranking))
+    return features.group_sizes(driver_tables(spark, sf).ranker_features)
 
 
 def _utility(spark, sf):
@@ -303,7 +303,7 @@ def _utility(spark, sf):
     2^(400 label) x (avg_rating - 3): labels >= 3 overflow to +/-inf, or to
     NaN when avg_rating is exactly 3 (power-of-two scaling keeps finite
     values exact in any engine)."""
-    f = features.ranker_features(driver_tables(spark, sf).ranking)
+    f = driver_tables(spark, sf).ranker_features
     raw = F.pow(F.lit(2.0), F.col("label").cast("double") * 400) * (F.col("avg_rating") - 3.0)
     return f.select("userId", "movieId", "label", raw.alias("raw"))
 
@@ -323,7 +323,7 @@ def weighted_scores(spark, sf):
 
 def ranker_pairs(spark, sf):
     from marquee.operators.pairwise import pair_counts
-    counts = pair_counts(features.ranker_features(driver_tables(spark, sf).ranking))
+    counts = pair_counts(driver_tables(spark, sf).ranker_features)
     return counts.filter(F.col("n_pairs") > 0).select("userId", "n_pairs")
 
 

@@ -164,6 +164,15 @@ class DriverTables:
         from marquee.operators.retrieve import item_scores
         return self._memo("item_scores", lambda: item_scores(self.hybrid, self.als_candidates), persist=True)
 
+    @property
+    def ranker_features(self) -> DataFrame:
+        """At most 20 feature rows per user, equal to the top rows of the
+        ranking table but computed without its fan-out; read by every
+        ranker key."""
+        from marquee.operators.features import ranker_features_from_parts
+        return self._memo("ranker_features",
+                          lambda: ranker_features_from_parts(self.als_candidates, self.hybrid), persist=True)
+
     @property
     def ranking(self) -> DataFrame:
         from marquee.operators.hybrid import build_ranking
