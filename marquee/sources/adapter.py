@@ -157,6 +157,13 @@ class DriverTables:
         from marquee.operators.hybrid import build_hybrid
         return self._memo("hybrid", lambda: build_hybrid(self.ratings, self.movies, self.tags), persist=True)
 
+    @property
+    def als_model(self):
+        """MLlib ALS fitted once per session on the hybrid rows (its factor
+        tables stay persisted by MLlib, with checkpointed lineage)."""
+        from marquee.operators.als import fit_als
+        return self._memo("als_model", lambda: fit_als(self.hybrid))
+
     @property
     def item_scores(self) -> DataFrame:
         """Per (movieId, genres): ranking aggregates and both mode scores.
