@@ -129,3 +129,18 @@ def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("movieId").cast("int").alias("movieId"),
         "title", "genres", "score", "mode")
     return RecommendResult(rows=rows, status=status)
+
+
+def recommend_texts(texts: list[str | None], movies: DataFrame, hybrid: DataFrame,
+                    als_candidates: DataFrame, scores: DataFrame | None = None,
+                    k: int = TOP_K) -> DataFrame:
+    """The single-call form: one response row per given text, in input order
+    (``query_id`` = position), with status, message and the nested list.
+
+    The texts are the caller's own requests (a handful typed by a user); they
+    become a small request table and go through the same plan as a batch.
+    """
+    spark = movies.sparkSession
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    return recommend_batch(q, movies, hybrid, als_candidates, k=k, scores=scores,
+                           persist_intents=False).responses().orderBy("query_id")

@@ -86,3 +86,14 @@ def test_four_sample_prompts(spark, small):
     n = res.rows.groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in n} == {1: 10, 3: 10}
     assert res.rows.filter(F.col("query_id") == 3).filter(~F.lower("genres").contains("comedy")).count() == 0
+
+
+def test_recommend_texts_matches_batch(spark, small):
+    from marquee.plans.recommend import recommend_batch, recommend_texts
+    texts = ["I watched Titanic", "Recommend comedy films", "   ", None]
+    one = recommend_texts(texts, small.movies, small.hybrid, small.als_candidates).collect()
+    assert [r["query_id"] for r in one] == [0, 1, 2, 3]
+    assert [r["status"] for r in one] == ["fallback", "success", "fallback", "fallback"]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    batch = recommend_batch(q, small.movies, small.hybrid, small.als_candidates).responses()
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, one))
