@@ -9,16 +9,17 @@ nothing else matches.
 
 Containment is a theta join; here it is an equi-join on a short key. Each
 title of length >= k is keyed by its first k characters, a shorter title by
-itself; each request emits, at every position, its substrings of length
-1..k. A title occurs in the request at position p iff the request's gram at p
-equals the title's key and the request continues with the whole title, which
-is then checked. No request x title product is formed; work is linear in the
-text length (k rows per character).
+itself; each request emits, at every position, its substring of length k
+and of each shorter length some key has. A title occurs in the request at
+position p iff the request's gram at p equals the title's key and the
+request continues with the whole title, which is then checked. No request x
+title product is formed; work is linear in the text length (at most k rows
+per character, one when no title is shorter than k).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.text import normalize_title
@@ -38,22 +39,22 @@ def title_lookup(movies: DataFrame) -> DataFrame:
                       F.col("_last.genres").alias("genres"), "first_pos")
 
 
-def _request_grams(texts: DataFrame, k: int, key_lengths: DataFrame) -> DataFrame:
+def _request_grams(texts: DataFrame, k: int, short_lengths: Column) -> DataFrame:
     """(qn, pos, gram) for every position, for length k and for each shorter
     length some title key has.
 
-    ``key_lengths`` holds the distinct key lengths below k (at most k - 1
-    rows, a proven bound, so it is broadcast): without short titles each
-    position emits one gram, and short grams such as "e", hot in every
-    text, are never shuffled unless a title of that length exists.
+    ``short_lengths`` is the array of distinct key lengths below k (at most
+    k - 1 values, a proven bound, evaluated once as a scalar subquery). Each
+    position emits only those lengths, so without short titles it emits one
+    gram, and short grams such as "e", hot in every text, never exist unless
+    a title of that length does.
     """
     n = F.length("qn")
     with_pos = texts.filter(n > 0).select("qn", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
-    lens = F.sequence(F.lit(1), F.least(F.lit(k), F.length("qn") - F.col("pos") + 1))
-    grams = with_pos.select("qn", "pos", F.explode(lens).alias("_j"))
-    short = grams.filter(F.col("_j") < k).join(F.broadcast(key_lengths), on="_j", how="left_semi")
-    full = grams.filter(F.col("_j") == k)
-    return full.unionByName(short).select("qn", "pos", F.substring("qn", F.col("pos"), F.col("_j")).alias("gram"))
+    lens = F.array_union(F.array(F.lit(k)), short_lengths)
+    grams = with_pos.select("qn", "pos", F.explode(lens).alias("_j")).filter(
+        F.col("_j") <= F.length("qn") - F.col("pos") + 1)
+    return grams.select("qn", "pos", F.substring("qn", F.col("pos"), F.col("_j")).alias("gram"))
 
 
 def best_title_per_text(texts: DataFrame, lookup: DataFrame, k: int = GRAM_LENGTH) -> DataFrame:
@@ -61,8 +62,9 @@ def best_title_per_text(texts: DataFrame, lookup: DataFrame, k: int = GRAM_LENGT
     winning title, or no row when no non-empty title is contained."""
     keys = lookup.filter(F.col("klen") > 0).select(
         F.substring("key", 1, k).alias("gram"), "key", "klen", "movieId", "genres", "first_pos")
-    key_lengths = keys.filter(F.col("klen") < k).select(F.col("klen").alias("_j")).distinct()
-    grams = _request_grams(texts, k, key_lengths)
+    short_lengths = keys.filter(F.col("klen") < k).agg(
+        F.array_sort(F.collect_set(F.col("klen").cast("int")))).scalar()
+    grams = _request_grams(texts, k, short_lengths)
     hits = grams.join(keys, on="gram", how="inner").filter(
         F.substring(F.col("qn"), F.col("pos"), F.col("klen")) == F.col("key"))
     # Highest (length, -first_pos) wins; a partial max runs before the shuffle.
