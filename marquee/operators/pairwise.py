@@ -64,8 +64,21 @@ def _sig_neg(d: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(F.greatest(d, F.lit(-50.0)), F.lit(50.0))))
 
 
-def with_pair_gradients(state: DataFrame) -> DataFrame:
-    """Adds g, h: sums over the row's label-ordered pairs inside its group.
+def _metric_terms(lst: Column) -> list[Column]:
+    """Per row, over its group's list: label-ordered pairs (y_i > y_j), those
+    the scores order correctly, and their summed logistic loss."""
+    y, s = F.col("label"), F.col("score")
+    return [
+        F.aggregate(lst, F.lit(0), lambda a, x: a + F.when(y > x.y, 1).otherwise(0)).alias("_pn"),
+        F.aggregate(lst, F.lit(0), lambda a, x: a + F.when((y > x.y) & (s > x.s), 1).otherwise(0)).alias("_pok"),
+        F.aggregate(lst, F.lit(0.0),
+                    lambda a, x: a + F.when(y > x.y, F.log1p(F.exp(x.s - s))).otherwise(F.lit(0.0))).alias("_ploss"),
+    ]
+
+
+def with_pair_gradients(state: DataFrame, metrics: bool = False) -> DataFrame:
+    """Adds g, h: sums over the row's label-ordered pairs inside its group
+    (and, with ``metrics``, the per-row pair metric terms of the same list).
 
     Computed by a window over the user's bounded list and a higher-order
     ``aggregate`` (JVM-side); pairs are never materialised as rows.
@@ -79,10 +92,17 @@ def with_pair_gradients(state: DataFrame) -> DataFrame:
         p = _sig_neg(F.abs(s - x.s) * F.when(y > x.y, 1.0).otherwise(-1.0))
         return acc + F.when(y != x.y, p * (F.lit(1.0) - p)).otherwise(F.lit(0.0))
 
-    lst = _group_list()
-    return state.withColumn("_grp", lst).withColumn(
-        "g", F.aggregate("_grp", F.lit(0.0), g_step)).withColumn(
-        "h", F.aggregate("_grp", F.lit(0.0), h_step)).drop("_grp")
+    out = state.withColumn("_grp", _group_list())
+    extra = _metric_terms(F.col("_grp")) if metrics else []
+    return out.select("*", F.aggregate("_grp", F.lit(0.0), g_step).alias("g"),
+                      F.aggregate("_grp", F.lit(0.0), h_step).alias("h"), *extra).drop("_grp")
+
+
+def _summarize(per_row: DataFrame) -> dict:
+    res = per_row.agg(F.sum("_pn").alias("n"), F.sum("_pok").alias("ok"), F.sum("_ploss").alias("loss")).first()
+    if not res["n"]:
+        return {"pair_accuracy": 0.0, "pair_loss": 0.0}
+    return {"pair_accuracy": float(res["ok"]) / res["n"], "pair_loss": float(res["loss"]) / res["n"]}
 
 
 def pair_metrics(scored: DataFrame) -> dict:
@@ -91,16 +111,7 @@ def pair_metrics(scored: DataFrame) -> dict:
     accuracy = share of label-ordered pairs (y_i > y_j) with s_i > s_j;
     loss = mean of log(1 + e^-(s_i - s_j)) over the same pairs.
     """
-    y, s = F.col("label"), F.col("score")
-    per_row = scored.withColumn("_grp", _group_list()).select(
-        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when(y > x.y, 1).otherwise(0)).alias("n"),
-        F.aggregate("_grp", F.lit(0), lambda a, x: a + F.when((y > x.y) & (s > x.s), 1).otherwise(0)).alias("ok"),
-        F.aggregate("_grp", F.lit(0.0),
-                    lambda a, x: a + F.when(y > x.y, F.log1p(F.exp(x.s - s))).otherwise(F.lit(0.0))).alias("loss"))
-    res = per_row.agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("loss").alias("loss")).first()
-    if not res["n"]:
-        return {"pair_accuracy": 0.0, "pair_loss": 0.0}
-    return {"pair_accuracy": float(res["ok"]) / res["n"], "pair_loss": float(res["loss"]) / res["n"]}
+    return _summarize(scored.withColumn("_grp", _group_list()).select(*_metric_terms(F.col("_grp"))))
 
 
 def pair_accuracy(scored: DataFrame) -> float:
@@ -174,25 +185,37 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
     history: list[dict] = []
     n_cols = max(1, int(round(colsample * len(cols))))
     for r in range(n_trees):
-        rows = with_pair_gradients(state).filter(F.col("h") > 0)
+        # With tracking, one window pass yields this round's gradients and the
+        # metrics of the model so far (r trees); the rows are cached for the
+        # metric sum and the tree fit (a lost block is recomputed from the
+        # short lineage).
+        all_rows = with_pair_gradients(state, metrics=track_accuracy)
+        if track_accuracy:
+            all_rows = all_rows.cache()
+            if r > 0:
+                history.append({"round": r, **_summarize(all_rows)})
+        rows = all_rows.filter(F.col("h") > 0)
         bucket = F.abs(F.xxhash64(F.col("rid"), F.lit(seed + r))) % 10000
         sample = rows.filter(bucket < int(subsample * 10000)).withColumn("target", -F.col("g") / F.col("h"))
         use = sorted(rng.sample(range(len(cols)), n_cols))
         use_cols = [cols[i] for i in use]
         # The tree learner passes over its input several times: cache it for
-        # the fit only (a lost block is recomputed from the short lineage).
+        # the fit only (unless the rows above are cached already).
         vec = VectorAssembler(inputCols=use_cols, outputCol="features").transform(sample) \
-            .select("features", "target", "h").cache()
+            .select("features", "target", "h")
+        if not track_accuracy:
+            vec = vec.cache()
         model = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="h",
                                       maxDepth=max_depth, seed=seed + r).fit(vec)
         vec.unpersist()
+        all_rows.unpersist()
         tree = _extract_tree(model)
         trees.append((use_cols, tree))
         state = state.withColumn("score", F.col("score") + F.lit(learning_rate) * tree.to_column(use_cols))
         if (r + 1) % CHECKPOINT_EVERY == 0 or r == n_trees - 1:
             state = cut_lineage(state)
-        if track_accuracy:
-            history.append({"round": r + 1, **pair_metrics(state)})
+    if track_accuracy and n_trees > 0:
+        history.append({"round": n_trees, **pair_metrics(state)})
     return PairwiseRanker(cols, trees, learning_rate, history)
 
 
