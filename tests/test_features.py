@@ -39,3 +39,18 @@ def test_parts_equal_fanout_driver_tables(small):
     _same_multiset(ranker_features_from_parts(small.als_candidates, small.hybrid), fan)
     assert ranker_features_from_parts(small.als_candidates, small.hybrid) \
         .groupBy("userId").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_parts_equal_fanout_hot_item(spark):
+    # One item holds a third of all candidate rows and has many tags, so its
+    # fan-out dominates; the multiplicity form must still give the same rows.
+    users = range(1, 61)
+    hybrid_rows = [(u, 7, float(1 + u % 5), "A|B", f"t{u % 9}") for u in users if u % 2 == 0]
+    hybrid_rows += [(u, 100 + u, 3.0, "C", "unknown") for u in users]
+    hybrid = spark.createDataFrame(hybrid_rows, "userId int, movieId int, rating float, genres string, tag string")
+    cand_rows = [(u, 7, 0.5 + (u % 3) / 10) for u in users]
+    cand_rows += [(u, 100 + ((u + j) % 60) + 1, 0.1 * j) for u in users for j in range(1, 3)]
+    cands = spark.createDataFrame(cand_rows, "userId int, movieId int, ALS_score double")
+    for k in (1, 5, 20):
+        fan = ranker_features(build_ranking(cands, hybrid), k)
+        _same_multiset(ranker_features_from_parts(cands, hybrid, k), fan)
