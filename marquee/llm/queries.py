@@ -6,10 +6,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from marquee.llm import decontaminate, pii, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 from marquee.llm.frames import read_table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark")))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.classify(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -39,5 +48,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_toxicity, op4_quality_classifier, op6_quality_rules, op7_sentencepiece, op10_pii)}
-ORACLES: dict[str, str] = {}
+    op1_decontaminate, op2_substring_dedup, op3_toxicity, op4_quality_classifier, op6_quality_rules, op7_sentencepiece, op10_pii)}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
+}
