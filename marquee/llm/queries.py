@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, pii, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from marquee.llm import decontaminate, jaccard_join, pii, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 from marquee.llm.frames import read_table
 
 
@@ -42,14 +42,21 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.digest(jaccard_join.near_duplicates(docs))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.detect(docs))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_substring_dedup, op3_toxicity, op4_quality_classifier, op6_quality_rules, op7_sentencepiece, op10_pii)}
+    op1_decontaminate, op2_substring_dedup, op3_toxicity, op4_quality_classifier, op6_quality_rules, op7_sentencepiece,
+    op8_jaccard_join, op10_pii)}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_substring_dedup": substring_dedup.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
 }
