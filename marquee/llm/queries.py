@@ -6,7 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, jaccard_join, pii, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from marquee.llm import (
+    decontaminate,
+    jaccard_join,
+    license_scan,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    substring_dedup,
+    token_store,
+    toxicity,
+)
 from marquee.llm.frames import read_table
 
 
@@ -29,6 +40,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: they are laid out as files of a tree
+    source/language/thousands of ids. A document whose first line names its
+    licence stands for the licence file of its directory."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    found = license_scan.scan(docs.withColumn("path", path), "path", keep_columns=("doc_id",))
+    return license_scan.inherit(found, F.col("first")).select("doc_id", "path", "own", "score", "licence", "origin")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs, read_table(spark, sf_dir, "labels"))
@@ -47,14 +68,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(jaccard_join.near_duplicates(docs))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_store.load(token_store.store(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.detect(docs))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_substring_dedup, op3_toxicity, op4_quality_classifier, op6_quality_rules, op7_sentencepiece,
-    op8_jaccard_join, op10_pii)}
+    op1_decontaminate, op2_substring_dedup, op3_toxicity, op4_quality_classifier,
+    op5_license_scan, op6_quality_rules, op7_sentencepiece,
+    op8_jaccard_join, op9_token_store, op10_pii)}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_substring_dedup": substring_dedup.ORACLE,
