@@ -54,11 +54,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
-               schema: T.StructType | str, text: str = "text") -> DataFrame:
+               schema: T.StructType | str, text: str = "text", max_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over text slices; ``fn`` makes one batch of each slice."""
 
     def run(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, max_bytes):
             out = fn(part)
             if out is not None:
                 yield out

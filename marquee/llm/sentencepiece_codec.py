@@ -39,6 +39,8 @@ MARKER = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0  # below the lowest piece
 # -----------------------------------------------------------------------------
+#: Texts of a slice: the arrays over all matching pieces take a hundred times as much.
+SLICE_BYTES = 2 << 20
 #: Cuts chunks apart while a slice is prepared; texts with it take the slower way.
 CUT = "\u0001"
 
@@ -162,30 +164,32 @@ class Pieces:
             alive, node, depth = alive[ok], node[ok], depth + 1
             value = self.trie.value[node]
             hit = value >= 0
-            starts.append(alive[hit])
-            sizes.append(np.full(int(hit.sum()), depth))
+            starts.append(alive[hit].astype(np.int32))
+            sizes.append(np.full(int(hit.sum()), depth, np.int8))
             ids.append(value[hit])
             if depth == 1:
                 single[alive[hit]] = True
             go = left[alive] > depth
             alive, node = alive[go], node[go]
-        alone = np.flatnonzero(~single)
+        alone = np.flatnonzero(~single).astype(np.int32)
         start = np.concatenate([*starts, alone])
-        size = np.concatenate([*sizes, np.ones(len(alone), np.int64)])
-        piece = np.concatenate([*ids, np.full(len(alone), -1)]).astype(np.int64)
-        score = np.where(piece >= 0, self.scores[np.maximum(piece, 0)], self.unknown)
+        size = np.concatenate([*sizes, np.ones(len(alone), np.int8)])
+        piece = np.concatenate([*ids, np.full(len(alone), -1, np.int32)])
+        del starts, sizes, ids, alive, node
         # Relax in order of the start within the chunk. A chunk has one more
         # point than characters, so chunk k's points begin at begins + k.
-        # A stable sort keeps the sizes of a start ascending, so no two
-        # pieces of one round end at the same point.
-        order = np.lexsort([size, inside[start]])
-        start, size, piece, score = start[order], size[order], piece[order], score[order]
-        source = start + owner[start]
+        # A round has one start and one size, so no two of its pieces end
+        # at the same point.
+        key = inside[start] * 64 + size
+        order = np.argsort(key)
+        key, start, size, piece = key[order], start[order], size[order], piece[order]
+        del order
+        score = np.where(piece >= 0, self.scores[np.maximum(piece, 0)], self.unknown)
+        source = start + owner[start].astype(np.int32)
         target = source + size
         best = np.full(n + len(chunks), -np.inf)
         best[begins + np.arange(len(chunks))] = 0.0
         back = np.zeros(n + len(chunks), np.int64)
-        key = inside[start] * 64 + size
         rounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         for a, b in zip(rounds[:-1], rounds[1:], strict=True):
             reach = best[source[a:b]] + score[a:b]
@@ -285,10 +289,21 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text_col: str = "text"
     kept = "".join(f"`_{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep_columns)
     picked = docs.select(F.col(text_col).alias("text_"), F.col(text_col).isNull().alias("null_"),
                          *[F.col(c).alias(f"_{c}") for c in keep_columns])
-    out = map_slices(picked, judge, f"{kept}ids array<int>", "text_")
+    out = map_slices(picked, judge, f"{kept}ids array<int>", "text_", SLICE_BYTES)
     return out.select(*[F.col(f"_{c}").alias(c) for c in keep_columns], "ids")
 
 
+def by_length(batch: pa.RecordBatch, ids_col: str, most: int = SLICE_BYTES // 4):
+    """Cuts a batch so that each part has about ``most`` ids."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids",
            text_col: str = "decoded") -> DataFrame:
     """The rows with one more column: the text of their ids (null for null)."""
@@ -297,9 +312,7 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids
 
     def run(batches):
         for batch in batches:
-            step = 512
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in by_length(batch, ids_col):
                 lists = part.column(ids_col)
                 ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
                 ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
