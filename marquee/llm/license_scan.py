@@ -40,12 +40,11 @@ from marquee.llm.frames import map_slices
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge."),
+    ("MIT", "Permission is hereby granted."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -55,7 +54,7 @@ TEMPLATES = (
 MIN_COSINE = 0.6
 #: Words of ordinary prose, the most frequent first; they are the last to become key words.
 ORDINARY = ("the", "of", "and", "to", "a", "in", "is", "this", "by", "with", "are", "as", "all", "2", "3", "use",
-            "under", "work", "free", "general", "public", "source", "forms", "program", "charge", "version", "by")
+            "under", "work", "free", "general", "public", "source", "forms", "program", "charge", "version")
 LICENCE_FILES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 # -----------------------------------------------------------------------------
 
