@@ -169,8 +169,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
 
     def judge(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column("text_")
-        # Every pattern needs a digit or an @; most texts have neither.
-        some = pc.match_substring_regex(texts, "[0-9@]").to_pylist()
+        # Every pattern needs a digit, an @ or a key prefix; most texts have none.
+        some = pc.match_substring_regex(texts, "[0-9@]|AKIA|ASIA").to_pylist()
         found = [find_spans(t) if s else [] for t, s in zip(texts.to_pylist(), some, strict=True)] if any(some) else [
             [] for _ in range(part.num_rows)]
         out = {c: part.column(c) for c in ("doc_id_", *[f"_{c}" for c in keep_columns])}

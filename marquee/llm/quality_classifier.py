@@ -71,7 +71,7 @@ class QuadraticDiscriminant:
     def __init__(self, rows: np.ndarray, labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.parts = None
-        if not 0 < self.prior < 1:
+        if not len(labels) or not 0 < self.prior < 1:
             return
         self.mean, self.scale = rows.mean(axis=0), np.maximum(rows.std(axis=0), 1e-6)
         rows = (rows - self.mean) / self.scale
