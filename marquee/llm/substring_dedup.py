@@ -69,10 +69,13 @@ def one_per_slice(hashes: np.ndarray, more: np.ndarray, owner: np.ndarray, at: n
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1])
     group = np.cumsum(fresh) - 1
     sure = np.bincount(group, minlength=1)[group] > 1 if len(group) else fresh
+    # Back in the order of the texts: neighbours in a shuffle block then share
+    # their text's key, which compresses.
+    back = np.lexsort([at, owner])
     spread = -(mix(owner.view(np.uint64) ^ mix(at.astype(np.uint64))) >> np.uint64(1)).astype(np.int64) - 1
     return pa.RecordBatch.from_pydict({
-        "g": pa.array(np.where(fresh, hashes, spread)), "g2": pa.array(more.astype(np.int32)), "f": pa.array(sure),
-        "k": pa.array(owner), "at": pa.array(at.astype(np.int32))})
+        "g": pa.array(np.where(fresh, hashes, spread)[back]), "g2": pa.array(more[back].astype(np.int32)),
+        "f": pa.array(sure[back]), "k": pa.array(owner[back]), "at": pa.array(at[back].astype(np.int32))})
 
 
 ROWS = "g long, g2 int, f boolean, k long, at int"
@@ -97,7 +100,7 @@ def anchors(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         keys = part.column("k").to_numpy(zero_copy_only=False)
         return one_per_slice(hashed, np.zeros(len(chosen), np.int64), keys[owner[chosen]], at[chosen])
 
-    return map_slices(texts.select("k", "text"), find, ROWS)
+    return map_slices(texts.select("k", "text", "copies"), find, ROWS)
 
 
 def extended(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -125,7 +128,7 @@ def extended(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         keys = part.column("k").to_numpy(zero_copy_only=False)
         return one_per_slice(first, second, keys[owner], chosen - words.starts[owner])
 
-    return map_slices(texts.select("k", "text", "at"), find, ROWS)
+    return map_slices(texts.select("k", "text", "copies", "at"), find, ROWS)
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -169,7 +172,9 @@ def without(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup_texts(docs: DataFrame, text_col: str = "text", window: int = WINDOW, seed: int = 0) -> DataFrame:
-    """Per distinct text: k (see ``key_of``), n_words, n_removed and kept."""
+    """Per distinct text: k (see ``key_of``), n_words, n_removed and kept. All
+    three readers of the texts take the same columns, so that they share one
+    shuffle of them."""
     texts = texts_of(docs, text_col, seed)
     near = texts.join(repeated(anchors(texts, window)), "k")
     return without(texts.join(repeated(extended(near, window)), "k", "left"), window)
