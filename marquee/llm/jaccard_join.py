@@ -23,9 +23,12 @@ are then verified exactly on their texts.
 
 Scale: signatures are made in the scan; within a slice a signature with more
 than ``LOCAL`` texts leaves as ``LOCAL`` rows and settled remainders, so no
-group in the shuffle exceeds LOCAL rows per slice. All other grouping combines
-before it shuffles, texts are shuffled once per verification, joins on hot
-representatives can be split. Components are found on the links alone.
+group in the shuffle exceeds LOCAL rows per slice. Large groups are otherwise
+only reduced to their least member, which combines before it shuffles. Of the
+texts only those in a candidate pair are shuffled, copies once; joins on hot
+representatives can be split. Key sets are broadcast after they were counted
+(``BROADCAST_ROWS``), else joined by shuffle. Components are found on the
+links alone.
 
 Defined results: null or empty texts, and texts without words, have an empty
 set, are linked with nothing and are their own component; copies of a text
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.frames import Words, map_slices, mix, rolling, written
-from marquee.llm.substring_dedup import key_of, texts_of
+from marquee.llm.substring_dedup import key_of
 
 # --- fixed values ------------------------------------------------------------
 SHINGLE = 5
@@ -54,6 +57,7 @@ FIRST_BAND = 8  # sizes up to 8, 16, 32, ...
 SINGLES_UP_TO = 64  # bands in which every shingle is a part
 PARTS = 0.36  # parts per size of the band's largest set
 BLOCK = 512
+BROADCAST_ROWS = 2_000_000  # keys of 8 or 16 bytes
 # -----------------------------------------------------------------------------
 
 
@@ -119,7 +123,7 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-ROWS = ("g long, real long, k long, kind int, weight int, least long, "
+ROWS = ("g long, k long, kind int, weight int, real long, least long, "
         "n long, slack0 long, slack1 long, sketch binary")
 TEXT_ROW = 2  # kind; 0 and 1: signatures of the set's own and of the next band
 
@@ -149,7 +153,8 @@ def signature_rows(part: pa.RecordBatch, level: int) -> pa.RecordBatch:
         scheme = limit[o[begin]] * (level == 1) + level
         with np.errstate(over="ignore"):
             salt = mix(part_no[begin].astype(np.uint64) * np.uint64(1 << 20) + scheme.astype(np.uint64))
-        g = (mix(content ^ salt) >> np.uint64(1)).astype(np.int64)
+        # 48 bits: whatever meets by chance is compared exactly later.
+        g = (mix(content ^ salt) >> np.uint64(16)).astype(np.int64)
         found.append((g, o[begin], np.full(len(g), kind)))
         if level == 1:
             used = np.bincount(o[begin], minlength=len(keys))
@@ -168,36 +173,47 @@ def signature_rows(part: pa.RecordBatch, level: int) -> pa.RecordBatch:
     own = lambda a, b: -(mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) >> np.uint64(1)).astype(np.int64) - 1
     # The first row of a group that is cut short carries the group's weight.
     weight = np.where(over, 0, 1 + (rank == 0) * np.maximum(count[group] - LOCAL, 0)) if len(g) else rank
-    m = len(keys)
-    sig = {"g": np.where(over, own(g, k), g), "real": g, "k": k, "kind": kind, "weight": weight,
-           "least": np.where(over, k[begin][group], k) if len(g) else k}
-    text = {"g": own(keys, keys), "real": np.zeros(m, np.int64), "k": keys, "kind": np.full(m, TEXT_ROW),
-            "weight": np.zeros(m, np.int64), "least": keys}
-    out = {c: pa.array(np.concatenate([sig[c], text[c]]).astype(np.int32 if c in ("kind", "weight") else np.int64))
-           for c in sig}
-    blank = pa.nulls(len(g), pa.int64())
-    # Column `real` is only of use in the settled rows.
-    out["real"] = pa.array(np.concatenate([g, np.zeros(m, np.int64)]), mask=np.concatenate([~over, np.ones(m, bool)]))
-    for c, v in (("n", sizes), ("slack0", slack[0]), ("slack1", slack[1])):
-        out[c] = pa.concat_arrays([blank, pa.array(v.astype(np.int64))])
-    out["sketch"] = pa.concat_arrays([pa.nulls(len(g), pa.binary()), pa.array(sketches(sets, of, sizes), pa.binary())])
-    return pa.RecordBatch.from_pydict(out)
+    # Back in the order of the texts: rows of a text that lie together in a
+    # shuffle block share its key, which compresses.
+    back = np.argsort(k, kind="stable")
+    settled = over[back]
+    m, n = len(keys), len(g)
+    least = k[begin][group] if n else k
+    both = lambda a, b, kind=np.int64: pa.array(np.concatenate([a, b]).astype(kind))
+    only_cut = lambda x: pa.array(np.concatenate([x[back], np.zeros(m, np.int64)]),
+                                  mask=np.concatenate([~settled, np.ones(m, bool)]))
+    only_text = lambda x: pa.concat_arrays([pa.nulls(n, x.type), x])
+    return pa.RecordBatch.from_pydict({
+        "g": both(np.where(over, own(g, k), g)[back], own(keys, keys)), "k": both(k[back], keys),
+        "kind": both(kind[back], np.full(m, TEXT_ROW), np.int32), "weight": both(weight[back], np.zeros(m), np.int32),
+        "real": only_cut(g), "least": only_cut(least), "n": only_text(pa.array(sizes)),
+        "slack0": only_text(pa.array(slack[0].astype(np.int64))), "slack1": only_text(pa.array(slack[1].astype(np.int64))),
+        "sketch": only_text(pa.array(sketches(sets, of, sizes), pa.binary()))})
 
 
 def signatures(texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Shared signatures (g, k, kind, least, size, cut) and texts (k, n, slacks, sketch)."""
+    """Shared signatures (g, k, kind, least, size) and texts (k, n, slacks, sketch)."""
     rows = map_slices(texts.select("k", "text"), lambda part: signature_rows(part, level), ROWS)
     w = Window.partitionBy("g")
+    cut, text = F.col("real").isNotNull(), F.col("kind") == TEXT_ROW
     rows = (rows.withColumn("low", F.min("k").over(w)).withColumn("high", F.max("k").over(w))
-            .withColumn("size", F.sum("weight").over(w))
-            .filter((F.col("kind") == TEXT_ROW) | (F.col("low") < F.col("high")) | F.col("real").isNotNull()))
-    rows = written(rows, f"signatures{level}")
-    cut = F.col("real").isNotNull()
-    shared = rows.filter(F.col("kind") != TEXT_ROW).select(
-        F.coalesce("real", "g").alias("g"), "k", "kind", F.when(cut, F.col("least")).otherwise(F.col("low")).alias("least"),
-        F.when(cut, F.lit(GROUP + 1)).otherwise(F.col("size")).alias("size"))
-    known = rows.filter(F.col("kind") == TEXT_ROW).select("k", "n", "slack0", "slack1", "sketch").dropDuplicates(["k"])
-    return shared, known
+            .withColumn("size", F.sum("weight").over(w)).filter(text | cut | (F.col("low") < F.col("high"))))
+    rows = written(rows.select(
+        F.when(~text, F.coalesce("real", "g")).alias("g"), "k", "kind",
+        F.when(cut, F.col("least")).when(~text, F.col("low")).alias("least"),
+        F.when(cut, F.lit(GROUP + 1)).otherwise(F.col("size")).alias("size"),
+        "n", "slack0", "slack1", "sketch"), f"signatures{level}")
+    known = rows.filter(text).groupBy("k").agg(
+        *[F.max(c).alias(c) for c in ("n", "slack0", "slack1", "sketch")], F.min("sketch").alias("other"))
+    checked = F.when(F.col("sketch") == F.col("other"), F.col("n")).otherwise(
+        F.raise_error(F.lit("two texts share a 64-bit hash; choose another seed")).cast("long"))
+    return (rows.filter(~text).select("g", "k", "kind", "least", "size"),
+            written(known.select("k", checked.alias("n"), "slack0", "slack1", "sketch"), f"texts{level}"))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it was counted to be small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -216,8 +232,12 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(near, "x long, y long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (x, y) whose texts are similar, compared exactly."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (x, y) whose texts are similar, compared exactly. Only texts that
+    are part of a pair are shuffled, copies once."""
+    pairs = written(pairs, "pairs")
+    needed = written(pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct(), "needed")
+    texts = docs.join(sized(needed), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
     one = texts.select(F.col("k").alias("x"), F.col("text").alias("tx"))
     two = texts.select(F.col("k").alias("y"), F.col("text").alias("text"))
 
@@ -263,17 +283,21 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    return shared.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    """Adds the labels of k and of its group's least member."""
+    few = sized(labels)
+    low = few.select(F.col("k").alias("least"), F.col("label").alias("low_label"))
+    return (shared.join(few, "k", "left").join(low, "least", "left")
+            .withColumn("label", F.coalesce("label", "k")).withColumn("low_label", F.coalesce("low_label", "least")))
 
 
-def across(shared: DataFrame) -> DataFrame:
+def across(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components within groups of at most GROUP members."""
-    groups = (shared.filter(F.col("size") <= GROUP).groupBy("g")
-              .agg(F.sort_array(F.collect_set(F.struct("label", "k"))).alias("m"),
-                   F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b"))
+    rows = labelled(shared.filter(F.col("size") <= GROUP), labels)
+    mixed = written(rows.filter("label <> low_label").select("g").distinct(), "mixed")
+    groups = rows.join(sized(mixed), "g", "left_semi").groupBy("g").agg(
+        F.sort_array(F.collect_set(F.struct("label", "k"))).alias("m"))
     # Many signatures have the same members: look at each list once.
-    lists = groups.select("m").distinct()
-    first = lists.select(F.explode("m").alias("p"), "m")
+    first = groups.select("m").distinct().select(F.explode("m").alias("p"), "m")
     pairs = first.select(F.col("p.k").alias("x"), F.explode(F.expr("filter(m, q -> q.label > p.label)")).alias("q"))
     return pairs.select(F.least("x", "q.k").alias("x"), F.greatest("x", "q.k").alias("y")).distinct()
 
@@ -302,44 +326,44 @@ def block_pairs(known: DataFrame) -> DataFrame:
     return every.groupBy("lo", "hi").applyInPandas(compare, "x long, y long").distinct()
 
 
-def links_of(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels (k, label) and sizes (k, n): ``docs`` has k and text, ``texts`` the distinct texts."""
-    level, source, sizes = 1, docs, None
-    links, labels, weak = None, None, None
+def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels (k, label) and sizes (k, n) of documents (k, text)."""
+    level, source, sizes, links = 1, docs, None, None
     while True:
         shared, known = signatures(source, level)
-        sizes = sizes if sizes is not None else known.select("k", "n")
+        sizes = known.select("k", "n") if sizes is None else sizes
         star = shared.filter("k > least").select(F.col("least").alias("x"), F.col("k").alias("y")).distinct()
-        new = written(verified(possible(star, known), texts), "star")
+        new = written(verified(possible(star, known), docs), "star")
         links = new if links is None else links.union(new)
         labels = components(links)
         # Groups that are one component have nothing left to find.
-        more = across(labelled(shared, labels)).join(star, ["x", "y"], "left_anti")
-        new = written(verified(possible(more, known), texts), "across")
+        more = across(shared, labels).join(star, ["x", "y"], "left_anti")
+        new = written(verified(possible(more, known), docs), "across")
         if not new.isEmpty():
             links = links.union(new)
             labels = components(links)
-        # Sets that large mixed groups have cost their guarantee.
-        mixed = (labelled(shared.filter(F.col("size") > GROUP), labels).groupBy("g")
-                 .agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("g"))
-        lost = (shared.filter(F.col("size") > GROUP).join(mixed, "g", "left_semi").groupBy("k", "kind").count()
-                .groupBy("k").agg(F.sum(F.when(F.col("kind") == 0, F.col("count"))).alias("lost0"),
-                                  F.sum(F.when(F.col("kind") == 1, F.col("count"))).alias("lost1")))
+        # Large groups of several components are not paired: a set that has
+        # too many of their signatures loses its guarantee.
+        large = labelled(shared.filter(F.col("size") > GROUP), labels)
+        mixed = written(large.filter("label <> low_label").select("g").distinct(), "mixed")
+        lost = (large.join(sized(mixed), "g", "left_semi").groupBy("k")
+                .agg(F.count(F.when(F.col("kind") == 0, 1)).alias("lost0"),
+                     F.count(F.when(F.col("kind") == 1, 1)).alias("lost1")))
         weak = written(known.filter("n > 0").join(lost, "k", "left").filter(
             "coalesce(lost0, 0) >= slack0 OR coalesce(lost1, 0) >= slack1").select("k", "n", "sketch"), "weak")
         if weak.isEmpty():
             return labels, sizes
         if level == 2:
-            new = written(verified(block_pairs(weak), texts), "blocks")
+            new = written(verified(block_pairs(weak), docs), "blocks")
             return components(links.union(new)), sizes
-        level, source = 2, texts.join(weak.select("k"), "k", "left_semi")
+        level, source = 2, docs.join(sized(weak.select("k")), "k", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_shingles, component_id (smallest id reachable) and k,
     the hash of its text."""
     keyed = docs.select(F.col(id_col).alias("id"), key_of(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labels, sizes = links_of(keyed.select("k", "text"), texts_of(docs, text_col))
+    labels, sizes = links_of(keyed.select("k", "text"))
     rows = keyed.select("id", "k").join(sizes, "k").join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
     rows = written(rows, "labelled")
     least = rows.filter("n > 0").groupBy("label").agg(F.min("id").alias("least"))
