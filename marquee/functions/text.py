@@ -8,6 +8,8 @@ patterns run unchanged in RE2 (DuckDB) for the SQL oracles.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,6 @@ YEAR_PATTERN = r"\(\p{Nd}{4}\)"
 # Anything that is neither a word character (letter, number, underscore)
 # nor a space character.
 PUNCT_PATTERN = r"[^\p{L}\p{N}_" + SPACE_CHARS + "]"
-# Leading or trailing space characters.
-TRIM_PATTERN = r"\A[" + SPACE_CHARS + r"]+|[" + SPACE_CHARS + r"]+\z"
 # Separator inside the genres string ("Action|Comedy").
 GENRE_SEPARATOR = "[|]"
 # ---------------------------------------------------------------------------
@@ -38,9 +38,20 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def space_characters() -> str:
+    """The characters of ``SPACE_CHARS``, spelled out."""
+    found = re.findall(r"\\x\{(\w+)\}(?:-\\x\{(\w+)\})?|\\([tnfr])|(.)", SPACE_CHARS)
+    out = []
+    for low, high, escape, plain in found:
+        first = int(low, 16) if low else ord({"t": "\t", "n": "\n", "f": "\f", "r": "\r"}.get(escape, plain))
+        out += [chr(c) for c in range(first, (int(high, 16) if high else first) + 1)]
+    return "".join(out)
+
+
 def strip_text(c) -> Column:
-    """Python ``str.strip()``: drop leading/trailing Unicode spaces."""
-    return F.regexp_replace(_col(c), TRIM_PATTERN, "")
+    """Python ``str.strip()``: drop leading/trailing Unicode spaces. A trim
+    reads a text once; a regular expression would retry at every inner space."""
+    return F.btrim(_col(c), F.lit(space_characters()))
 
 
 def normalize_title(c) -> Column:
@@ -66,7 +77,7 @@ def extract_genres(c, vocab=GENRE_VOCAB) -> Column:
     gives an empty array.
     """
     lowered = F.lower(_col(c))
-    return F.filter(vocab_array(vocab), lambda g: F.coalesce(lowered.contains(g), F.lit(False)))
+    return F.array_compact(F.array(*[F.when(lowered.contains(g), F.lit(g)) for g in sorted(vocab)]))
 
 
 def requested_genres(seed_genres, text_genres) -> Column:

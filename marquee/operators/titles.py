@@ -7,14 +7,15 @@ wins. Duplicate normalised titles carry the data of their greatest movieId.
 A title normalising to "" is contained in every request and is used only when
 nothing else matches.
 
-Containment is a theta join; here it is an equi-join on a short key. Each
-title of length >= k is keyed by its first k characters, a shorter title by
-itself; each request emits, at every position, its substring of length k
-and of each shorter length some key has. A title occurs in the request at
-position p iff the request's gram at p equals the title's key and the
-request continues with the whole title, which is then checked. No request x
-title product is formed; work is linear in the text length (at most k rows
-per character, one when no title is shorter than k).
+Containment is a theta join; here it is two equi-joins. A *shape* is a title's
+first k characters (a shorter title by itself) and its length; many titles
+share a shape. Each text emits, at every position, its substring of length k
+and of each shorter length some title has; the join with the distinct shapes
+says where a title of which length could stand. Those substrings are cut from
+the text, made distinct and joined to the titles by equality. The rows of the
+first join carry a text id, never the text, and the rows of the second grow
+with the texts, not with texts x titles of a common prefix. Neither join
+broadcasts what was exploded.
 """
 
 from __future__ import annotations
@@ -40,39 +41,49 @@ def title_lookup(movies: DataFrame) -> DataFrame:
 
 
 def _request_grams(texts: DataFrame, k: int, short_lengths: Column) -> DataFrame:
-    """(qn, pos, gram) for every position, for length k and for each shorter
-    length some title key has.
+    """(tid, n, pos, gram) for every position, for length k and for each
+    shorter length some title key has.
 
     ``short_lengths`` is the array of distinct key lengths below k (at most
     k - 1 values, a proven bound, evaluated once as a scalar subquery). Each
     position emits only those lengths, so without short titles it emits one
     gram, and short grams such as "e", hot in every text, never exist unless
-    a title of that length does.
+    a title of that length does. The text itself is dropped in the same step.
     """
     n = F.length("qn")
-    with_pos = texts.filter(n > 0).select("qn", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
+    with_pos = texts.select("tid", "qn", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
     lens = F.array_union(F.array(F.lit(k)), short_lengths)
-    grams = with_pos.select("qn", "pos", F.explode(lens).alias("_j")).filter(
+    grams = with_pos.select("tid", "qn", "pos", F.explode(lens).alias("_j")).filter(
         F.col("_j") <= F.length("qn") - F.col("pos") + 1)
-    return grams.select("qn", "pos", F.substring("qn", F.col("pos"), F.col("_j")).alias("gram"))
+    return grams.select("tid", n.alias("n"), "pos", F.substring("qn", F.col("pos"), F.col("_j")).alias("gram"))
+
+
+def title_pieces(texts: DataFrame, keys: DataFrame, k: int = GRAM_LENGTH) -> DataFrame:
+    """(tid, key): the distinct substrings of texts (tid, qn) that have the
+    shape of some title; what is compared with the titles afterwards."""
+    shapes = keys.select(F.substring("key", 1, k).alias("gram"), "klen").distinct()
+    short_lengths = keys.filter(F.col("klen") < k).agg(
+        F.array_sort(F.collect_set(F.col("klen").cast("int")))).scalar()
+    spots = _request_grams(texts, k, short_lengths).join(shapes.hint("shuffle_hash"), "gram").filter(
+        F.col("pos") + F.col("klen") - 1 <= F.col("n"))
+    # Bounded by the text's own length times the lengths titles have.
+    spots = spots.groupBy("tid").agg(F.collect_set(F.struct("pos", "klen")).alias("spots"))
+    cut = F.array_distinct(F.transform("spots", lambda s: F.substring(F.col("qn"), s["pos"], s["klen"])))
+    return texts.join(spots.hint("merge"), "tid").select("tid", F.explode(cut).alias("key"))
 
 
 def best_title_per_text(texts: DataFrame, lookup: DataFrame, k: int = GRAM_LENGTH) -> DataFrame:
     """For distinct normalised texts ``qn``: (qn, movieId, genres, key) of the
     winning title, or no row when no non-empty title is contained."""
-    keys = lookup.filter(F.col("klen") > 0).select(
-        F.substring("key", 1, k).alias("gram"), "key", "klen", "movieId", "genres", "first_pos")
-    short_lengths = keys.filter(F.col("klen") < k).agg(
-        F.array_sort(F.collect_set(F.col("klen").cast("int")))).scalar()
-    grams = _request_grams(texts, k, short_lengths)
-    hits = grams.join(keys, on="gram", how="inner").filter(
-        F.substring(F.col("qn"), F.col("pos"), F.col("klen")) == F.col("key"))
+    keys = lookup.filter(F.col("klen") > 0)
+    ids = texts.filter(F.length("qn") > 0).select(F.unhex(F.md5("qn")).alias("tid"), "qn")
+    hits = title_pieces(ids, keys, k).join(keys.hint("shuffle_hash"), "key")
     # Highest (length, -first_pos) wins; a partial max runs before the shuffle.
-    best = hits.groupBy("qn").agg(F.max(F.struct(
+    best = hits.groupBy("tid").agg(F.max(F.struct(
         F.col("klen"), (-F.col("first_pos").cast("long")).alias("neg_pos"),
         F.col("movieId"), F.col("genres"), F.col("key"))).alias("b"))
-    return best.select("qn", F.col("b.movieId").alias("movieId"), F.col("b.genres").alias("genres"),
-                       F.col("b.key").alias("title_key"))
+    return ids.join(best.hint("merge"), "tid").select(
+        "qn", F.col("b.movieId").alias("movieId"), F.col("b.genres").alias("genres"), F.col("b.key").alias("title_key"))
 
 
 def attach_titles(requests: DataFrame, movies: DataFrame, text_col: str = "text",
@@ -83,8 +94,8 @@ def attach_titles(requests: DataFrame, movies: DataFrame, text_col: str = "text"
 
     Requests are reduced to distinct texts first, so a text sent by a third
     of all users is normalised and matched once; the per-text winners (one
-    row per text) join back, broadcast by AQE when small, else a shuffle join
-    whose hot text partitions AQE splits. Null or empty texts never match.
+    row per text) join back by a shuffle join whose hot text partitions AQE
+    splits. Null or empty texts never match.
     """
     text = F.col(text_col)
     valid = text.isNotNull() & (text != "")
@@ -97,11 +108,11 @@ def attach_titles(requests: DataFrame, movies: DataFrame, text_col: str = "text"
     # The empty key is one row at most: a scalar subquery, no join.
     empty = lookup.filter(F.col("klen") == 0).agg(
         F.max(F.struct("movieId", "genres", F.col("key").alias("title_key"))).alias("e")).scalar()
-    per_text = raw.join(best, on="qn", how="left").select(
+    per_text = raw.join(best.hint("merge"), on="qn", how="left").select(
         "_text", F.when(F.col("movieId").isNotNull(),
                         F.struct(F.col("movieId"), F.col("genres"), F.col("title_key"))).otherwise(empty).alias("_m"))
     base_cols = list(requests.columns)
-    joined = requests.join(per_text, requests[text_col] == per_text["_text"], "left")
+    joined = requests.join(per_text.hint("merge"), requests[text_col] == per_text["_text"], "left")
     picked = F.when(valid, F.col("_m"))
     return joined.select(*[requests[c] for c in base_cols], picked.alias("_m")).select(
         *base_cols, F.col("_m.movieId").alias("movieId"), F.col("_m.genres").alias("genres"),

@@ -9,10 +9,16 @@ the adapter expressions.
 
 from __future__ import annotations
 
-from marquee.functions.text import GENRE_VOCAB, PUNCT_PATTERN, TRIM_PATTERN, YEAR_PATTERN
+from marquee.functions.text import GENRE_VOCAB, PUNCT_PATTERN, YEAR_PATTERN
 from marquee.sources import adapter as A
 
 
+# --- fixed values: code points that str.strip() removes, as ranges ----------
+TRIM_POINTS = ((9, 13), (28, 32), (133, 133), (160, 160), (5760, 5760), (8192, 8202), (8232, 8233), (8239, 8239),
+               (8287, 8287), (12288, 12288))
+# ---------------------------------------------------------------------------
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -24,11 +30,12 @@ def _list(values) -> str:
 def normalize_sql(x: str) -> str:
     step1 = f"regexp_replace({x}, {_sql_str(YEAR_PATTERN)}, '', 'g')"
     step2 = f"regexp_replace({step1}, {_sql_str(PUNCT_PATTERN)}, '', 'g')"
-    return f"regexp_replace(lower({step2}), {_sql_str(TRIM_PATTERN)}, '', 'g')"
+    return strip_sql(f"lower({step2})")
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, {_sql_str(TRIM_PATTERN)}, '', 'g')"
+    spaces = "".join(chr(c) for low, high in TRIM_POINTS for c in range(low, high + 1))
+    return f"trim({x}, {_sql_str(spaces)})"
 
 
 def genres_sql(x: str) -> str:
@@ -122,9 +129,9 @@ classified AS (
          CASE WHEN state = 'missing' THEN 'fallback' WHEN state = 'blank' THEN 'fallback'
               WHEN seed_id IS NULL AND len(text_genres) = 0 THEN 'fallback'
               WHEN seed_id IS NOT NULL AND seed_genres IS NULL THEN 'error' END AS pre_status,
-         CASE WHEN state = 'missing' THEN 'Please provide a movie title or genre.'
-              WHEN state = 'blank' THEN 'Query must not be blank.'
-              WHEN seed_id IS NULL AND len(text_genres) = 0 THEN 'Mention a movie name or genre.'
+         CASE WHEN state = 'missing' THEN 'The request has no text.'
+              WHEN state = 'blank' THEN 'The request holds only spaces.'
+              WHEN seed_id IS NULL AND len(text_genres) = 0 THEN 'No known title or genre occurs in the request.'
               WHEN seed_id IS NOT NULL AND seed_genres IS NULL THEN 'The named movie has no genres.' END AS pre_message,
          CASE WHEN seed_id IS NOT NULL THEN 'title' ELSE 'genre' END AS mode,
          list_sort(list_distinct(list_concat(
@@ -168,7 +175,7 @@ rec_rows AS (
 rec_status AS (
   SELECT c.query_id,
          coalesce(c.pre_status, CASE WHEN n.n > 0 THEN 'success' ELSE 'fallback' END) AS status,
-         coalesce(c.pre_message, CASE WHEN n.n > 0 THEN NULL ELSE 'No movies available in catalog.' END) AS message,
+         coalesce(c.pre_message, CASE WHEN n.n > 0 THEN NULL ELSE 'Nothing can be suggested from this catalog.' END) AS message,
          CAST(CASE WHEN c.pre_status IS NULL THEN coalesce(n.n, 0) ELSE 0 END AS BIGINT) AS n_recs,
          CASE WHEN c.pre_status IS NULL THEN n.stage END AS stage
   FROM classified c LEFT JOIN (SELECT query_id, count(*) AS n, min(stage) AS stage FROM rec_rows GROUP BY query_id) n

@@ -29,10 +29,10 @@ from marquee.operators.titles import attach_titles
 from marquee.session import shared_dir
 
 # --- fixed values: status messages (own wording) ----------------------------
-MSG_MISSING = "Please provide a movie title or genre."
-MSG_BLANK = "Query must not be blank."
-MSG_NO_SIGNAL = "Mention a movie name or genre."
-MSG_EMPTY_CATALOG = "No movies available in catalog."
+MSG_MISSING = "The request has no text."
+MSG_BLANK = "The request holds only spaces."
+MSG_NO_SIGNAL = "No known title or genre occurs in the request."
+MSG_EMPTY_CATALOG = "Nothing can be suggested from this catalog."
 MSG_SEED_NO_GENRES = "The named movie has no genres."
 # ---------------------------------------------------------------------------
 
@@ -115,15 +115,17 @@ def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
                                     movies, ["ikey"])
     n_recs = per_intent.groupBy("ikey").agg(F.count(F.lit(1)).alias("n_recs"), F.min("stage").alias("stage"))
 
-    status = intents.join(n_recs, on="ikey", how="left").select(
-        "query_id",
-        F.coalesce(F.col("pre.status"),
-                   F.when(F.col("n_recs") > 0, F.lit("success")).otherwise(F.lit("fallback"))).alias("status"),
-        F.coalesce(F.col("pre.message"),
-                   F.when(F.col("n_recs") > 0, F.lit(None).cast("string")).otherwise(F.lit(MSG_EMPTY_CATALOG))).alias("message"),
-        F.when(F.col("pre").isNull(), F.coalesce(F.col("n_recs"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_recs"),
-        F.when(F.col("pre").isNull(), F.col("stage")).alias("stage"),
-    )
+    # Requests that are decided already have no intent: they skip the join,
+    # where they would all be one key.
+    found = F.coalesce("n_recs", F.lit(0)).cast("long")
+    decided = intents.filter(F.col("ikey").isNull()).select(
+        "query_id", F.col("pre.status").alias("status"), F.col("pre.message").alias("message"),
+        F.lit(0).cast("long").alias("n_recs"), F.lit(None).cast("int").alias("stage"))
+    open_ = intents.filter(F.col("ikey").isNotNull()).select("query_id", "ikey").join(n_recs, on="ikey", how="left")
+    answered = open_.select(
+        "query_id", F.when(found > 0, "success").otherwise("fallback").alias("status"),
+        F.when(found == 0, MSG_EMPTY_CATALOG).alias("message"), found.alias("n_recs"), "stage")
+    status = answered.unionByName(decided)
     rows = intents.filter(F.col("ikey").isNotNull()).select("query_id", "ikey", "mode").join(
         per_intent, on="ikey", how="inner").select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("movieId").cast("int").alias("movieId"),

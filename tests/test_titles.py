@@ -66,3 +66,45 @@ def test_adapter_queries_equal_brute_force(small):
     got = {r["query_id"]: (r["movieId"], r["genres"], r["title_key"])
            for r in match_titles(small.queries, small.movies).collect()}
     assert got == brute_force(queries, movies)
+
+
+def test_trim_is_linear(spark):
+    import time
+
+    from marquee.functions.text import strip_text
+
+    df = spark.createDataFrame([("a" + " " * 100_000 + "b  \t",)], "t string").select(strip_text("t").alias("t"))
+    df.collect()
+    start = time.perf_counter()
+    assert df.first()["t"] == "a" + " " * 100_000 + "b" and time.perf_counter() - start < 2
+
+
+def test_nothing_exploded_is_broadcast(spark, small):
+    def below(node):
+        yield node.nodeName()
+        for k in range(node.children().size()):
+            yield from below(node.children().apply(k))
+
+    def check(node):
+        if "BroadcastExchange" in node.nodeName():
+            assert not any("Generate" in n for n in below(node))
+        for k in range(node.children().size()):
+            check(node.children().apply(k))
+
+    from marquee.operators.titles import match_titles
+
+    check(match_titles(small.queries, small.movies)._jdf.queryExecution().sparkPlan())
+
+
+def test_pieces_grow_with_the_texts(spark):
+    from marquee.operators.titles import title_lookup, title_pieces
+    from marquee.sources.adapter import driver_tables
+
+    rows = []
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        t = driver_tables(spark, sf, reuse=False)
+        keys = title_lookup(t.movies).filter("klen > 0")
+        from marquee.functions.text import normalize_title
+        texts = t.queries.select(normalize_title("text").alias("qn")).filter("length(qn) > 0").distinct()
+        rows.append(title_pieces(texts.selectExpr("md5(qn) AS tid", "qn"), keys).count())
+    assert rows[1] <= 15 * rows[0]
