@@ -10,11 +10,6 @@ from marquee.functions.text import GENRE_VOCAB, extract_genres
 from marquee.operators.titles import attach_titles
 
 
-def with_text_genres(queries: DataFrame, text_col: str = "text", vocab=GENRE_VOCAB) -> DataFrame:
-    """Adds ``text_genres``: vocabulary words found in the text (sorted)."""
-    return queries.withColumn("text_genres", extract_genres(text_col, vocab))
-
-
 def parse_queries(queries: DataFrame, movies: DataFrame, vocab=GENRE_VOCAB) -> DataFrame:
     """(query_id, intent_type, movieId, movie_genres, genres, confidence).
 

@@ -15,18 +15,23 @@ sigma(d) * sigma(-d). Per round:
    of the features, i.e. leaf = -sum g / sum h (a Newton step);
 3. every row's score moves by learning_rate x tree output.
 
-The trees are turned into SQL CASE expressions, so scoring stays JVM-side
-(whole-stage codegen), with no Python in the hot path.
+While training, one tree at a time is a SQL CASE expression. A whole model
+(a hundred trees are too large for one generated method) is a table of nodes
+of bounded size, walked by a vectorised function: all rows of a batch take one
+step down a tree at a time.
 """
 
 from __future__ import annotations
 
+import json
 import random
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,11 +166,55 @@ class PairwiseRanker:
     learning_rate: float
     history: list[dict]
 
-    def raw_score(self) -> Column:
-        total = F.lit(0.0)
+    def node_table(self) -> tuple[np.ndarray, ...]:
+        """(roots, feature, threshold, left, right, value) of all trees; a
+        leaf is its own child. At most trees x 2**(depth + 1) rows."""
+        roots, rows = [], []
         for cols, tree in self.trees:
-            total = total + F.lit(self.learning_rate) * tree.to_column(cols)
-        return total
+            base = len(rows)
+            roots.append(base)
+            for i, node in enumerate(tree.nodes):
+                if node[0] == "leaf":
+                    rows.append((0, 0.0, base + i, base + i, float(node[1])))
+                else:
+                    _, feat, thr, left, right = node
+                    rows.append((self.feature_cols.index(cols[feat]), float(thr), base + left, base + right, 0.0))
+        columns = [np.array(c) for c in zip(*rows, strict=True)] or [np.zeros(0)] * 5
+        return np.array(roots, np.int64), *columns
+
+    def raw_score(self) -> Column:
+        """Sum of the trees' outputs; a missing feature goes right."""
+        roots, feature, threshold, left, right, value = self.node_table()
+        rate = self.learning_rate
+
+        def walk(*features: pd.Series) -> pd.Series:
+            x = np.column_stack([f.to_numpy(dtype=float, na_value=np.nan) for f in features])
+            total, every = np.zeros(len(x)), np.arange(len(x))
+            for root in roots:
+                node = np.full(len(x), root)
+                while True:
+                    down = np.where(x[every, feature[node]] <= threshold[node], left[node], right[node])
+                    if (down == node).all():
+                        break
+                    node = down
+                total += rate * value[node]
+            return pd.Series(total)
+
+        return F.pandas_udf(walk, "double")(*[F.col(c).cast("double") for c in self.feature_cols])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the model as one JSON text below ``path``."""
+        trees = [{"columns": cols, "nodes": tree.nodes} for cols, tree in self.trees]
+        text = json.dumps({"feature_cols": self.feature_cols, "learning_rate": self.learning_rate,
+                           "history": self.history, "trees": trees})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PairwiseRanker:
+        """The model that ``save`` wrote."""
+        held = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        trees = [(t["columns"], Tree([tuple(n) for n in t["nodes"]])) for t in held["trees"]]
+        return cls(held["feature_cols"], trees, held["learning_rate"], held["history"])
 
 
 def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: float = LEARNING_RATE,
@@ -174,11 +223,15 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
     """Boost ``n_trees`` trees on (userId, features..., label) rows."""
     cols = list(feature_cols)
     rng = random.Random(seed)
-    base = (features.select("userId", *[F.col(c).cast("double").alias(c) for c in cols],
-                            F.col("label").cast("double").alias("label"))
-            .withColumn("rid", F.monotonically_increasing_id()))
-    # Partitioned by user once; checkpoints keep that layout, so the per-round
-    # group windows need no shuffle.
+    # Rows are sampled by what they hold, so trees do not depend on files or
+    # partitions; equal rows of a user are told apart by their number.
+    held = ["userId", *[c for c in ("movieId",) if c in features.columns], *cols, "label"]
+    copies = Window.partitionBy(*held).orderBy(F.lit(1))
+    base = (features.select(*held).withColumn("_copy", F.row_number().over(copies))
+            .select("userId", *[F.col(c).cast("double").alias(c) for c in cols],
+                    F.col("label").cast("double").alias("label"), F.xxhash64(*held, "_copy").alias("rid")))
+    # A user's rows stay in one partition; each round still checks its layout
+    # (a checkpoint does not carry it), at most one shuffle of the rows.
     n_parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = cut_lineage(base.withColumn("score", F.lit(0.0)).repartition(n_parts, "userId"))
     trees: list[tuple[list[str], Tree]] = []

@@ -46,7 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Local runs only: a cluster names a shared folder in spark.checkpoint.dir.
+        # Local runs only: on a cluster executors do not share the driver's folders.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="marquee-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

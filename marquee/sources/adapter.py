@@ -180,6 +180,12 @@ class DriverTables:
         return self._memo("ranker_features",
                           lambda: ranker_features_from_parts(self.als_candidates, self.hybrid), persist=True)
 
+    @property
+    def ranker_model(self):
+        """The pairwise ranker with all its rounds, trained once per session."""
+        from marquee.operators.pairwise import train_pairwise
+        return self._memo("ranker_model", lambda: train_pairwise(self.ranker_features, track_accuracy=True))
+
     @property
     def ranking(self) -> DataFrame:
         from marquee.operators.hybrid import build_ranking

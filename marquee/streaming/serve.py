@@ -19,20 +19,24 @@ from marquee.session import shared_dir
 
 
 def serve_requests(requests: DataFrame, movies: DataFrame, hybrid: DataFrame, als_candidates: DataFrame,
-                   sink_path: str, checkpoint_location: str | None = None,
+                   sink_path: str, checkpoint_location: str,
                    available_now: bool = True) -> StreamingQuery:
-    """Start a streaming query answering ``requests`` (a streaming DataFrame)."""
+    """Start a streaming query answering ``requests`` (a streaming DataFrame).
+
+    ``checkpoint_location`` is required: a restart from the same folder goes
+    on with the next epoch, one from a new folder would cut the epochs anew
+    and overwrite answers."""
     spark = requests.sparkSession
     scores_path = shared_dir(spark, "item-scores")
     item_scores(hybrid, als_candidates).write.mode("overwrite").parquet(scores_path)
     scores = spark.read.parquet(scores_path)
 
     def answer(batch: DataFrame, epoch_id: int) -> None:
-        result = recommend_batch(batch, movies, hybrid, als_candidates, scores=scores)
+        result = recommend_batch(batch, movies, hybrid, als_candidates, scores=scores, persist_intents=False)
         (result.responses().withColumn("epoch", F.lit(epoch_id))
          .write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/epoch={epoch_id}"))
 
     writer = requests.writeStream.foreachBatch(answer).option(
-        "checkpointLocation", checkpoint_location or shared_dir(spark, "serve-checkpoint"))
+        "checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
