@@ -10,9 +10,12 @@ sigma(d) * sigma(-d). Per round:
    (the feature step keeps the top 20), so a window hands every row its
    group's (label, score) list and a higher-order ``aggregate`` sums the
    pair terms JVM-side; pairs are never emitted as rows;
-2. a regression tree (``ml.regression.DecisionTreeRegressor``, depth 6,
-   weight h) is fitted to -g/h on a hash sample of rows and a random subset
-   of the features, i.e. leaf = -sum g / sum h (a Newton step);
+2. features are cut into at most ``BINS`` + 1 bins once; a round needs only the
+   sums of g and h per cell (the bins of the tree's features), one aggregation
+   that combines before it shuffles. Cells are bounded by the bins, whatever
+   the number of rows, and a regression tree (depth 6, gain and Newton leaves
+   -sum g / (sum h + 1), at least weight 1 in a child) is grown on them; rows
+   are sampled by a hash of what they hold, features at random;
 3. every row's score moves by learning_rate x tree output.
 
 While training, one tree at a time is a SQL CASE expression. A whole model
@@ -29,8 +32,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +46,13 @@ MAX_DEPTH = 6
 N_TREES = 100
 SUBSAMPLE = 0.8
 COLSAMPLE = 0.8
+LEAF_PENALTY = 1.0
+MIN_CHILD_WEIGHT = 1.0
 # ---------------------------------------------------------------------------
 CHECKPOINT_EVERY = 5
+BINS = 64
+# Cells of a round that the driver holds at most.
+MAX_CELLS = 500_000
 
 
 def pair_counts(features: DataFrame, group_col: str = "userId", label_col: str = "label") -> DataFrame:
@@ -103,11 +109,14 @@ def with_pair_gradients(state: DataFrame, metrics: bool = False) -> DataFrame:
                       F.aggregate("_grp", F.lit(0.0), h_step).alias("h"), *extra).drop("_grp")
 
 
-def _summarize(per_row: DataFrame) -> dict:
-    res = per_row.agg(F.sum("_pn").alias("n"), F.sum("_pok").alias("ok"), F.sum("_ploss").alias("loss")).first()
-    if not res["n"]:
+def _ratios(pairs, ok, loss) -> dict:
+    if not pairs:
         return {"pair_accuracy": 0.0, "pair_loss": 0.0}
-    return {"pair_accuracy": float(res["ok"]) / res["n"], "pair_loss": float(res["loss"]) / res["n"]}
+    return {"pair_accuracy": float(ok) / pairs, "pair_loss": float(loss) / pairs}
+
+
+def _summarize(per_row: DataFrame) -> dict:
+    return _ratios(*per_row.agg(F.sum("_pn"), F.sum("_pok"), F.sum("_ploss")).first())
 
 
 def pair_metrics(scored: DataFrame) -> dict:
@@ -139,23 +148,48 @@ class Tree:
         return build(0)
 
 
-def _extract_tree(model) -> Tree:
-    """Walk the fitted JVM tree once on the driver (a few dozen nodes)."""
+def bin_edges(state: DataFrame, cols: list[str]) -> list[list[float]]:
+    """Up to ``BINS`` cut points per feature: even steps of the value and of
+    its logarithm between least and greatest, so they do not depend on how the
+    rows lie in partitions."""
+    ends = state.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("a", F.min), ("b", F.max))]).first()
+    out = []
+    for i in range(len(cols)):
+        low, high = ends[f"a{i}"], ends[f"b{i}"]
+        if low is None or not high > low:
+            out.append([])
+            continue
+        half = np.arange(1, BINS // 2 + 1) / (BINS // 2 + 1)
+        cuts = np.concatenate([low + (high - low) * half, low + np.expm1(np.log1p(high - low) * half)])
+        out.append(np.unique(np.round(cuts, 9)).tolist())
+    return out
+
+
+def grow_tree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, edges: list[list[float]], max_depth: int) -> Tree:
+    """A tree over cells: ``bins`` (cell x feature), sums g and h per cell.
+    A row goes left where its value is at most the cut."""
     nodes: list = []
 
-    def visit(jnode):
-        idx = len(nodes)
-        nodes.append(None)
-        if jnode.getClass().getSimpleName() == "LeafNode":
-            nodes[idx] = ("leaf", jnode.prediction())
-        else:
-            split = jnode.split()
-            left = visit(jnode.leftChild())
-            right = visit(jnode.rightChild())
-            nodes[idx] = ("split", split.featureIndex(), split.threshold(), left, right)
-        return idx
-
-    visit(model._java_obj.rootNode())
+    def visit(part: np.ndarray, depth: int) -> int:
+        at, total_g, total_h = len(nodes), g[part].sum(), h[part].sum()
+        nodes.append(("leaf", float(-total_g / (total_h + LEAF_PENALTY))))
+        best = (1e-9, None, None)
+        for f, cuts in enumerate(edges if depth < max_depth else []):
+            left_g = np.cumsum(np.bincount(bins[part, f], g[part], len(cuts) + 1))[:-1]
+            left_h = np.cumsum(np.bincount(bins[part, f], h[part], len(cuts) + 1))[:-1]
+            right_g, right_h = total_g - left_g, total_h - left_h
+            gain = (left_g ** 2 / (left_h + LEAF_PENALTY) + right_g ** 2 / (right_h + LEAF_PENALTY)
+                    - total_g ** 2 / (total_h + LEAF_PENALTY))
+            gain = np.where((left_h >= MIN_CHILD_WEIGHT) & (right_h >= MIN_CHILD_WEIGHT), np.round(gain, 9), -1.0)
+            if len(gain) and gain.max() > best[0]:
+                best = (float(gain.max()), f, int(gain.argmax()))
+        if best[1] is not None:
+            left = bins[part, best[1]] <= best[2]
+            nodes[at] = ("split", best[1], float(edges[best[1]][best[2]]),
+                         visit(part[left], depth + 1), visit(part[~left], depth + 1))
+        return at
+
+    visit(np.arange(len(g)), 0)
     return Tree(nodes)
 
 
@@ -233,36 +267,34 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
     # A user's rows stay in one partition; each round still checks its layout
     # (a checkpoint does not carry it), at most one shuffle of the rows.
     n_parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = cut_lineage(base.withColumn("score", F.lit(0.0)).repartition(n_parts, "userId"))
+    state = base.withColumn("score", F.lit(0.0)).repartition(n_parts, "userId")
+    edges = bin_edges(state, cols)
+    for i, cuts in enumerate(edges):
+        value = F.col(cols[i])
+        over = F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < value)
+        # A missing value lies beyond all cuts, as in scoring.
+        state = state.withColumn(f"_b{i}", F.when(F.col(cols[i]).isNull(), len(cuts)).otherwise(F.size(over)))
+    state = cut_lineage(state)
     trees: list[tuple[list[str], Tree]] = []
     history: list[dict] = []
     n_cols = max(1, int(round(colsample * len(cols))))
+    if (BINS + 1) ** n_cols > MAX_CELLS:
+        raise ValueError(f"{n_cols} features a tree make too many cells; lower colsample")
     for r in range(n_trees):
-        # With tracking, one window pass yields this round's gradients and the
-        # metrics of the model so far (r trees); the rows are cached for the
-        # metric sum and the tree fit (a lost block is recomputed from the
-        # short lineage).
-        all_rows = with_pair_gradients(state, metrics=track_accuracy)
-        if track_accuracy:
-            all_rows = all_rows.cache()
-            if r > 0:
-                history.append({"round": r, **_summarize(all_rows)})
-        rows = all_rows.filter(F.col("h") > 0)
-        bucket = F.abs(F.xxhash64(F.col("rid"), F.lit(seed + r))) % 10000
-        sample = rows.filter(bucket < int(subsample * 10000)).withColumn("target", -F.col("g") / F.col("h"))
         use = sorted(rng.sample(range(len(cols)), n_cols))
         use_cols = [cols[i] for i in use]
-        # The tree learner passes over its input several times: cache it for
-        # the fit only (unless the rows above are cached already).
-        vec = VectorAssembler(inputCols=use_cols, outputCol="features").transform(sample) \
-            .select("features", "target", "h")
-        if not track_accuracy:
-            vec = vec.cache()
-        model = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="h",
-                                      maxDepth=max_depth, seed=seed + r).fit(vec)
-        vec.unpersist()
-        all_rows.unpersist()
-        tree = _extract_tree(model)
+        bucket = F.abs(F.xxhash64(F.col("rid"), F.lit(seed + r))) % 10000
+        taken = (F.col("h") > 0) & (bucket < int(subsample * 10000))
+        # One aggregation gives the cells of this round and, with tracking,
+        # the metrics of the model so far (r trees).
+        extra = [F.sum(c).alias(c) for c in ("_pn", "_pok", "_ploss")] if track_accuracy else []
+        cells = with_pair_gradients(state, metrics=track_accuracy).groupBy(*[f"_b{i}" for i in use]).agg(
+            F.sum(F.when(taken, F.col("g"))).alias("g"), F.sum(F.when(taken, F.col("h"))).alias("h"), *extra).toPandas()
+        cells = cells.sort_values([f"_b{i}" for i in use], kind="stable")
+        if track_accuracy and r > 0:
+            history.append({"round": r, **_ratios(*(float(cells[c].sum()) for c in ("_pn", "_pok", "_ploss")))})
+        sums = [np.round(cells[c].fillna(0.0).to_numpy(dtype=float), 9) for c in ("g", "h")]
+        tree = grow_tree(cells[[f"_b{i}" for i in use]].to_numpy(dtype=np.int64), *sums, [edges[i] for i in use], max_depth)
         trees.append((use_cols, tree))
         state = state.withColumn("score", F.col("score") + F.lit(learning_rate) * tree.to_column(use_cols))
         if (r + 1) % CHECKPOINT_EVERY == 0 or r == n_trees - 1:
