@@ -272,14 +272,15 @@ def components(links: DataFrame) -> DataFrame:
             out = out.union(least.select("x", F.col("low").alias("y")))
         return out.filter("x <> y").distinct()
 
-    edges, state = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), None
+    edges = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     while True:
         edges = written(starred(starred(edges, True), False), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
-        if now == state:
+        # Done when every member has one link, to one that has no smaller neighbour.
+        each = edges.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        inner = edges.join(each.select(F.col("x").alias("y")), "y", "left_semi").select("x")
+        if each.filter("n > 1").select("x").union(inner).isEmpty():
             return edges.select(F.col("x").alias("k"), F.col("y").alias("label")).union(
                 edges.select(F.col("y").alias("k"), F.col("y").alias("label")).distinct())
-        state = now
 
 
 def labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
