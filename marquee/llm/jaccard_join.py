@@ -57,7 +57,7 @@ FIRST_BAND = 8  # sizes up to 8, 16, 32, ...
 SINGLES_UP_TO = 64  # bands in which every shingle is a part
 PARTS = 0.36  # parts per size of the band's largest set
 BLOCK = 512
-BROADCAST_ROWS = 2_000_000  # keys of 8 or 16 bytes
+BROADCAST_ROWS = 1_000_000  # keys of 8 or 16 bytes
 # -----------------------------------------------------------------------------
 
 
@@ -304,8 +304,9 @@ def across(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def block_pairs(known: DataFrame) -> DataFrame:
-    """Possible pairs among few sets, block against block. Each block meets
-    each other once; blocks, not pairs, are the rows that are shuffled."""
+    """Possible pairs of different components among few sets (k, n, sketch,
+    label), block against block. Each block meets each other once; blocks, not
+    pairs, are the rows that are shuffled."""
     rows = known.count()
     blocks = max(1, -(-rows // BLOCK))
     of = F.pmod(F.xxhash64("k"), F.lit(blocks))
@@ -318,9 +319,10 @@ def block_pairs(known: DataFrame) -> DataFrame:
         low, high = frame["lo"].iloc[0], frame["hi"].iloc[0]
         left, right = frame[frame["b"] == low], frame[frame["b"] == high]
         out = []
-        for x, n, s in zip(left["k"], left["n"], left["sketch"], strict=True):
-            for y, m, t in zip(right["k"], right["n"], right["sketch"], strict=True):
-                if x != y and 4 * min(n, m) >= 3 * max(n, m) and parity_distance(s, t) <= (n + m) // 7:
+        others = list(zip(right["k"], right["n"], right["sketch"], right["label"], strict=True))
+        for x, n, s, a in zip(left["k"], left["n"], left["sketch"], left["label"], strict=True):
+            for y, m, t, b in others:
+                if a != b and 4 * min(n, m) >= 3 * max(n, m) and parity_distance(s, t) <= (n + m) // 7:
                     out.append((min(x, y), max(x, y)))
         return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
 
@@ -355,7 +357,8 @@ def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if weak.isEmpty():
             return labels, sizes
         if level == 2:
-            new = written(verified(block_pairs(weak), docs), "blocks")
+            named = weak.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+            new = written(verified(block_pairs(named), docs), "blocks")
             return components(links.union(new)), sizes
         level, source = 2, docs.join(sized(weak.select("k")), "k", "left_semi")
 
