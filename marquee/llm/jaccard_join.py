@@ -22,8 +22,10 @@ ratio; parity sketches, whose distance never exceeds the sets' difference) and
 are then verified exactly on their texts.
 
 Scale: signatures are made in the scan; within a slice a signature with more
-than ``LOCAL`` texts leaves as ``LOCAL`` rows and settled remainders, so no
-group in the shuffle exceeds LOCAL rows per slice. Large groups are otherwise
+than ``GROUP`` texts leaves as ``LOCAL`` rows and settled remainders, so no
+group in the shuffle exceeds GROUP rows per slice. A group that is cut short
+is larger than GROUP, so all its rows, cut or not, count as a large group's;
+one that may be paired is never cut. Large groups are otherwise
 only reduced to their least member, which combines before it shuffles. Of the
 texts only those in a candidate pair are shuffled, copies once; joins on hot
 representatives can be split. Key sets are broadcast after they were counted
@@ -169,10 +171,11 @@ def signature_rows(part: pa.RecordBatch, level: int) -> pa.RecordBatch:
     group = np.cumsum(new) - 1
     rank = np.arange(len(g)) - begin[group] if len(g) else np.zeros(0, np.int64)
     count = np.bincount(group, minlength=len(begin)) if len(g) else np.zeros(0, np.int64)
-    over = rank >= LOCAL
+    # Only what is a large group already: its rows are not paired anyway.
+    over = (rank >= LOCAL) & (count[group] > GROUP) if len(g) else np.zeros(0, bool)
     own = lambda a, b: -(mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) >> np.uint64(1)).astype(np.int64) - 1
     # The first row of a group that is cut short carries the group's weight.
-    weight = np.where(over, 0, 1 + (rank == 0) * np.maximum(count[group] - LOCAL, 0)) if len(g) else rank
+    weight = np.where(over, 0, 1 + np.bincount(group, over).astype(np.int64)[group] * (rank == 0)) if len(g) else rank
     # Back in the order of the texts: rows of a text that lie together in a
     # shuffle block share its key, which compresses.
     back = np.argsort(k, kind="stable")

@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from marquee.llm import decontaminate, jaccard_join, substring_dedup
 
 from .conftest import awkward_rows, make_docs, prose
@@ -161,3 +163,38 @@ def test_jaccard_join_with_a_common_passage(spark, monkeypatch):
     rows += [(len(rows) + i, f"{prose(60, 90)} {i}") for i in range(12)]
     docs = make_docs(spark, rows).repartition(3)
     assert rows_of(jaccard_join.digest(jaccard_join.near_duplicates(docs))) == as_rows(brute_components(rows))
+
+
+def twelve_with_a_passage(clusters):
+    """Twelve texts share a passage; the first two are similar, and only by
+    signatures that all twelve have."""
+    rows = []
+    for c in range(clusters):
+        passage = prose(3000 + c, 36, 9_000)
+        for k, extra in enumerate([2, 8, *range(23, 33)]):
+            rows.append((100 * c + k, f"{passage} {prose(5000 + 100 * c + k, extra, 9_000)}"))
+    return rows
+
+
+def test_jaccard_join_pairs_groups_of_one_slice(spark):
+    rows = twelve_with_a_passage(8)
+    want = as_rows(brute_components(rows))
+    assert sum(n for n in Counter(r[2] for r in want).values() if n > 1) == 16
+    assert rows_of(jaccard_join.digest(jaccard_join.near_duplicates(make_docs(spark, rows).coalesce(1)))) == want
+
+
+def test_signature_groups_that_may_be_paired_are_not_cut():
+    def groups(texts):
+        part = pa.RecordBatch.from_pydict({"k": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.large_string())})
+        rows = [r for r in jaccard_join.signature_rows(part, 1).to_pylist() if r["kind"] != jaccard_join.TEXT_ROW]
+        weight = Counter()
+        for r in rows:
+            weight[r["g"]] += r["weight"]
+        return rows, weight
+
+    rows, weight = groups([t for _, t in twelve_with_a_passage(1)])
+    assert max(weight.values()) == 12 and all(r["real"] is None for r in rows)
+    passage = prose(3000, 36, 9_000)
+    rows, weight = groups([f"{passage} {prose(7000 + k, 23 + k % 10, 9_000)}" for k in range(jaccard_join.GROUP + 1)])
+    cut = {r["real"] for r in rows if r["real"] is not None}
+    assert cut and all(weight[g] == jaccard_join.GROUP + 1 for g in cut)
