@@ -3,7 +3,12 @@
 Every line of a file, and the whole text of a licence file, is a sparse TF-IDF
 vector over words; the nearest template by cosine names its licence if it
 reaches ``MIN_COSINE``. Words outside the templates count with the highest
-IDF, so prose around a few licence words stays far from all templates. Lines
+IDF, so prose around a few licence words stays far from all templates. Windows of
+consecutive lines, as long as a standard passage (paragraphs of licences, file
+headers, openings of licence files, SPDX lines; ``license_passages``), are
+compared with the passages in the same way and need ``PASSAGE_COSINE``; of all
+matches that reach their threshold the best score counts, the longer passage
+among equal ones. Lines and windows
 without a key word are skipped; the key words are chosen so that no line
 without one can reach the threshold (checked when the templates are weighed).
 
@@ -29,12 +34,15 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.frames import map_slices
+from marquee.llm.license_passages import ORDINARY as PASSAGE_ORDINARY
+from marquee.llm.license_passages import PASSAGES
 
 # --- fixed values ------------------------------------------------------------
 TEMPLATES = (
@@ -52,6 +60,7 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
 )
 MIN_COSINE = 0.6
+PASSAGE_COSINE = 0.7
 #: Words of ordinary prose, the most frequent first; they are the last to become key words.
 ORDINARY = ("the", "of", "and", "to", "a", "in", "is", "this", "by", "with", "are", "as", "all", "2", "3", "use",
             "under", "work", "free", "general", "public", "source", "forms", "program", "charge", "version")
@@ -68,17 +77,22 @@ def terms(text: str) -> list[str]:
 class Templates:
     """Weighed templates, and the key words without which no line can match."""
 
-    def __init__(self, templates=TEMPLATES, least: float = MIN_COSINE):
+    def __init__(self, templates=TEMPLATES, least: float = MIN_COSINE, ordinary=ORDINARY):
         self.names, self.least = [n for n, _ in templates], least
         counts = [Counter(terms(t)) for _, t in templates]
         seen = Counter(w for c in counts for w in c)
         self.rare = 1 + math.log((1 + len(counts)) / 1)
         self.idf = {w: 1 + math.log((1 + len(counts)) / (1 + n)) for w, n in seen.items()}
         self.vectors = [self.weigh(c) for c in counts]
+        self.sizes = [c.total() for c in counts]
+        self.squares: dict[str, list[tuple[int, float]]] = {}
+        for t, vector in enumerate(self.vectors):
+            for w, x in vector.items():
+                self.squares.setdefault(w, []).append((t, x * x))
         # Words stay out, ordinary ones first, while even all of them
         # together keep every template's cosine under the threshold.
         plain: set[str] = set()
-        for w in sorted(self.idf, key=lambda w: (ORDINARY.index(w) if w in ORDINARY else len(ORDINARY), len(w), w)):
+        for w in sorted(self.idf, key=lambda w: (ordinary.index(w) if w in ordinary else len(ordinary), len(w), w)):
             trial = plain | {w}
             if all(sum(v[x] ** 2 for x in trial if x in v) < least ** 2 for v in self.vectors):
                 plain = trial
@@ -97,18 +111,61 @@ class Templates:
         best = max(range(len(scores)), key=lambda k: scores[k])
         return (round(scores[best], 6), self.names[best]) if scores[best] >= self.least else (0.0, None)
 
+    def reachable(self, words) -> list[int]:
+        """Templates that a text of these words may match: a cosine is at most
+        the length of the template's part in them."""
+        mass: Counter = Counter()
+        for w in words:
+            for t, x in self.squares.get(w, ()):
+                mass[t] += x
+        return sorted(t for t, x in mass.items() if x >= self.least ** 2 - 1e-9)
+
+    def passage(self, lines: list[str]) -> tuple[float, str | None]:
+        """Best cosine of a template and a window of lines as long as it, to
+        the line, and its licence; of equal ones the longest window's."""
+        words = [terms(x) for x in lines]
+        able = self.reachable({w for line in words for w in line})
+        if not able:
+            return 0.0, None
+        keys = set(self.keys)
+        keyed = np.concatenate([[0], np.cumsum([not keys.isdisjoint(w) for w in words])])
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        start = np.arange(len(lines))
+        windows: dict[tuple[int, int], list[int]] = {}
+        for t in able:
+            whole = np.searchsorted(ends, ends[:-1] + self.sizes[t], side="right") - 1
+            stops = np.concatenate([np.maximum(whole, start + 1), np.minimum(whole + 1, len(lines))])
+            both = np.concatenate([start, start])
+            some = keyed[stops] > keyed[both]
+            for window in set(zip(both[some].tolist(), stops[some].tolist(), strict=True)):
+                windows.setdefault(window, []).append(t)
+        best = (0.0, 0, None)
+        for (a, b), of in sorted(windows.items()):
+            counts = Counter(w for line in words[a:b] for w in line)
+            may = set(self.reachable(counts))
+            if may.isdisjoint(of):
+                continue
+            line = self.weigh(counts)
+            for t in of:
+                score = round(sum(x * line.get(w, 0.0) for w, x in self.vectors[t].items()), 6) if t in may else 0.0
+                if score >= self.least and (score, counts.total()) > best[:2]:
+                    best = (score, counts.total(), self.names[t])
+        return best[0], best[2]
+
 
 def scan(files: DataFrame, path_col: str, text_col: str = "text", templates: Templates | None = None,
          keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """path, own (licence named in the file), score and first (whether its
     first line that is not blank names it)."""
     known = templates or Templates()
+    passages = Templates(PASSAGES, PASSAGE_COSINE, PASSAGE_ORDINARY)
 
     def judge(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column("text_")
         some = pc.match_substring_regex(texts, known.pattern).to_pylist()
+        long = pc.match_substring_regex(texts, passages.pattern).to_pylist()
         out = []
-        for text, hit in zip(texts.to_pylist(), some, strict=True):
+        for text, hit, more in zip(texts.to_pylist(), some, long, strict=True):
             best, first = (0.0, None), False
             if hit:
                 lines = [x for x in text.split("\n") if x.strip()]
@@ -119,6 +176,9 @@ def scan(files: DataFrame, path_col: str, text_col: str = "text", templates: Tem
                         best, first = found, k == 0
                 whole = known.nearest(text) if len(lines) > 1 else (0.0, None)
                 best = max(best, whole, key=lambda x: x[0])
+            if more:
+                lines = [x for x in text.split("\n") if x.strip()]
+                best = max(best, passages.passage(lines), key=lambda x: x[0])
             out.append((best[1], best[0], first))
         return pa.RecordBatch.from_pydict({
             **{c: part.column(c) for c in ("path_", *[f"_{c}" for c in keep_columns])},

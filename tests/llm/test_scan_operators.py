@@ -198,6 +198,47 @@ def test_licences_and_inheritance(spark, nothing):
     assert license_scan.scan_files(files.limit(0)).count() == 0
 
 
+GNU_HEADER = """# {what} is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {kind} Public License as published by
+# the Free Software Foundation, either version {version} of the License, or
+# (at your option) any later version."""
+BSD_2 = """Copyright (c) 2020, A. Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+
+
+@pytest.mark.parametrize(("text", "licence"), [
+    ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("SPDX-License-Identifier: Unheard-9", None),
+    ("This file is part of Foo, distributed under the MIT License.", "MIT"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "MIT"),
+    (GNU_HEADER.format(what="Foo", kind="General", version=3), "GPL-3.0"),
+    (GNU_HEADER.format(what="This program", kind="General", version=2), "GPL-2.0"),
+    (GNU_HEADER.format(what="Foo", kind="Lesser General", version=2.1), "LGPL-2.1"),
+    (GNU_HEADER.format(what="Foo", kind="Affero General", version=3), "AGPL-3.0"),
+    (BSD_2.split("\n\n", 1)[1], "BSD-2-Clause"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free "
+     "Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this "
+     "license document, but changing it is not allowed.\n\n                            Preamble", "GPL-3.0"),
+    ("A permit is granted to any person in charge of the copy room, the general said.\nThe software is sold.", None)])
+def test_standard_passages(text, licence):
+    lines = [x for x in text.split("\n") if x.strip()]
+    score, name = license_scan.Templates(license_scan.PASSAGES, license_scan.PASSAGE_COSINE, license_scan.PASSAGE_ORDINARY).passage(lines)
+    assert (name, score > 0) == (licence, licence is not None)
+
+
+def test_passage_key_words_lose_no_match():
+    known = license_scan.Templates(license_scan.PASSAGES, license_scan.PASSAGE_COSINE, license_scan.PASSAGE_ORDINARY)
+    plain = set(known.idf) - set(known.keys)
+    for vector in known.vectors:
+        assert sum(w ** 2 for x, w in vector.items() if x in plain) < known.least ** 2
+
+
 def test_key_words_lose_no_match():
     known = license_scan.Templates()
     plain = set(known.idf) - set(known.keys)
