@@ -120,13 +120,14 @@ class Templates:
                 mass[t] += x
         return sorted(t for t, x in mass.items() if x >= self.least ** 2 - 1e-9)
 
-    def passage(self, lines: list[str]) -> tuple[float, str | None]:
+    def passage(self, lines: list[str]) -> tuple[float, str | None, bool]:
         """Best cosine of a template and a window of lines as long as it, to
-        the line, and its licence; of equal ones the longest window's."""
+        the line, and its licence; of equal ones the longest window's. Also
+        whether a match starts at the first line."""
         words = [terms(x) for x in lines]
         able = self.reachable({w for line in words for w in line})
         if not able:
-            return 0.0, None
+            return 0.0, None, False
         keys = set(self.keys)
         keyed = np.concatenate([[0], np.cumsum([not keys.isdisjoint(w) for w in words])])
         ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
@@ -139,7 +140,7 @@ class Templates:
             some = keyed[stops] > keyed[both]
             for window in set(zip(both[some].tolist(), stops[some].tolist(), strict=True)):
                 windows.setdefault(window, []).append(t)
-        best = (0.0, 0, None)
+        best, opens = (0.0, 0, None), False
         for (a, b), of in sorted(windows.items()):
             counts = Counter(w for line in words[a:b] for w in line)
             may = set(self.reachable(counts))
@@ -148,15 +149,18 @@ class Templates:
             line = self.weigh(counts)
             for t in of:
                 score = round(sum(x * line.get(w, 0.0) for w, x in self.vectors[t].items()), 6) if t in may else 0.0
-                if score >= self.least and (score, counts.total()) > best[:2]:
+                if score < self.least:
+                    continue
+                opens |= a == 0
+                if (score, counts.total()) > best[:2]:
                     best = (score, counts.total(), self.names[t])
-        return best[0], best[2]
+        return best[0], best[2], opens
 
 
 def scan(files: DataFrame, path_col: str, text_col: str = "text", templates: Templates | None = None,
          keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """path, own (licence named in the file), score and first (whether its
-    first line that is not blank names it)."""
+    first line that is not blank names it or opens a passage that does)."""
     known = templates or Templates()
     passages = Templates(PASSAGES, PASSAGE_COSINE, PASSAGE_ORDINARY)
 
@@ -172,13 +176,16 @@ def scan(files: DataFrame, path_col: str, text_col: str = "text", templates: Tem
                 wanted = pc.match_substring_regex(pa.array(lines, pa.large_string()), known.pattern).to_pylist()
                 for k, (line, key) in enumerate(zip(lines, wanted, strict=True)):
                     found = known.nearest(line) if key else (0.0, None)
+                    if k == 0:
+                        first = found[1] is not None
                     if found[0] > best[0]:
-                        best, first = found, k == 0
+                        best = found
                 whole = known.nearest(text) if len(lines) > 1 else (0.0, None)
                 best = max(best, whole, key=lambda x: x[0])
             if more:
                 lines = [x for x in text.split("\n") if x.strip()]
-                best = max(best, passages.passage(lines), key=lambda x: x[0])
+                *found, opens = passages.passage(lines)
+                best, first = max(best, tuple(found), key=lambda x: x[0]), first or opens
             out.append((best[1], best[0], first))
         return pa.RecordBatch.from_pydict({
             **{c: part.column(c) for c in ("path_", *[f"_{c}" for c in keep_columns])},

@@ -228,7 +228,7 @@ modification, are permitted provided that the following conditions are met:
     ("A permit is granted to any person in charge of the copy room, the general said.\nThe software is sold.", None)])
 def test_standard_passages(text, licence):
     lines = [x for x in text.split("\n") if x.strip()]
-    score, name = license_scan.Templates(license_scan.PASSAGES, license_scan.PASSAGE_COSINE, license_scan.PASSAGE_ORDINARY).passage(lines)
+    score, name, _ = license_scan.Templates(license_scan.PASSAGES, license_scan.PASSAGE_COSINE, license_scan.PASSAGE_ORDINARY).passage(lines)
     assert (name, score > 0) == (licence, licence is not None)
 
 
@@ -239,6 +239,15 @@ def test_passage_key_words_lose_no_match():
         assert sum(w ** 2 for x, w in vector.items() if x in plain) < known.least ** 2
 
 
+def test_first_line_speaks_whatever_follows(spark):
+    """A first line that is a notice stays one when a later line scores better."""
+    text = "Foo is released under the MIT License.\nText\nLicensed under the Apache License, Version 2.0."
+    files = spark.createDataFrame([("a", text), ("b", "Text\n" + text),
+                                   ("c", "# SPDX-License-Identifier: MIT\n" + text)], "path string, text string")
+    got = {r["path"]: (r["own"], r["first"]) for r in license_scan.scan(files, "path").collect()}
+    assert got == {"a": ("Apache-2.0", True), "b": ("Apache-2.0", False), "c": ("Apache-2.0", True)}
+
+
 def test_key_words_lose_no_match():
     known = license_scan.Templates()
     plain = set(known.idf) - set(known.keys)
