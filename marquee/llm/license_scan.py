@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.frames import map_slices
+from marquee.llm.frames import map_slices, written
 from marquee.llm.license_passages import ORDINARY as PASSAGE_ORDINARY
 from marquee.llm.license_passages import PASSAGES
 
@@ -207,7 +207,8 @@ def directory(path) -> F.Column:
 def inherit(scanned: DataFrame, licence_file) -> DataFrame:
     """Adds licence and origin (own, inherited or none) to scanned files;
     ``licence_file`` says which rows speak for their directory."""
-    rows = scanned.withColumn("dir", directory(F.col("path")))
+    # Read three times below, scanned once.
+    rows = written(scanned, "licences").withColumn("dir", directory(F.col("path")))
     speak = rows.filter(licence_file & F.col("own").isNotNull() & F.col("path").isNotNull())
     of_dir = speak.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "own")).alias("best"))
     of_dir = of_dir.select(F.col("dir").alias("up"), F.col("best.own").alias("licence"))
