@@ -68,15 +68,15 @@ def similar(a, b, both):
     return 4 * both >= 3 * (a + b - both)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts in a row, the text of each, and the set sizes."""
     words = Words(pc.ascii_lower(texts))
     hashes = words.hashes()
     owner = words.owners()
     at = np.arange(len(owner)) - words.starts[owner]
-    whole = np.flatnonzero(at + SHINGLE <= words.counts[owner])
-    sets, of = rolling(hashes, SHINGLE, BASE)[whole], owner[whole]
-    short = np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE))
+    whole = np.flatnonzero(at + size <= words.counts[owner])
+    sets, of = rolling(hashes, size, BASE)[whole], owner[whole]
+    short = np.flatnonzero((words.counts > 0) & (words.counts < size))
     if len(short):  # the whole sequence is the one shingle
         extra = [mix(np.array([_chain(hashes[words.starts[d]:words.starts[d + 1]])], np.uint64))[0] for d in short]
         sets, of = np.concatenate([sets, np.array(extra, np.uint64)]), np.concatenate([of, short])

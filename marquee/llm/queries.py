@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import (
+    conversation_repair,
     decontaminate,
     jaccard_join,
     license_scan,
+    minhash,
     pii,
     quality_classifier,
     quality_rules,
@@ -17,6 +19,7 @@ from marquee.llm import (
     substring_dedup,
     token_store,
     toxicity,
+    vector_codes,
 )
 from marquee.llm.frames import read_table
 
@@ -78,12 +81,31 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(docs))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.digest(minhash.near_duplicates(docs))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages the conversations as the contract says and repairs them."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.digest(conversation_repair.damaged(rows))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_substring_dedup, op3_toxicity, op4_quality_classifier,
     op5_license_scan, op6_quality_rules, op7_sentencepiece,
-    op8_jaccard_join, op9_token_store, op10_pii)}
+    op8_jaccard_join, op9_token_store, op10_pii, op11_minhash_dedup,
+    op12_vector_codes, op13_conversation_repair)}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
+    "op11_minhash_dedup": minhash.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
