@@ -30,7 +30,7 @@ only reduced to their least member, which combines before it shuffles. Of the
 texts only those in a candidate pair are shuffled, copies once; joins on hot
 representatives can be split. Key sets are broadcast after they were counted
 (``BROADCAST_ROWS``), else joined by shuffle. Components are found on the
-links alone.
+links alone; later links only touch the labels that they join.
 
 Defined results: null or empty texts, and texts without words, have an empty
 set, are linked with nothing and are their own component; copies of a text
@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.frames import Words, map_slices, mix, rolling, written
+from marquee.llm.links import merged
 from marquee.llm.substring_dedup import key_of
 
 # --- fixed values ------------------------------------------------------------
@@ -245,8 +246,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     two = texts.select(F.col("k").alias("y"), F.col("text").alias("text"))
 
     def compare(part: pa.RecordBatch) -> pa.RecordBatch:
-        tx = part.column("tx").cast(pa.large_string())
-        a, oa, na = shingle_sets(tx)
+        a, oa, na = shingle_sets(part.column("tx"))
         b, ob, nb = shingle_sets(part.column("text"))
         # Members of both sets of a row meet as equal neighbours.
         both, of = np.concatenate([a, b]), np.concatenate([oa, ob])
@@ -260,46 +260,18 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_slices(rows.select("x", "y", "tx", "text"), compare, "x long, y long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """k and label (smallest k reachable) of every linked k, by large-star and
-    small-star rounds on the links."""
-
-    def starred(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        side = both if large else both.filter("y < x")
-        least = side.groupBy("x").agg(F.min("y").alias("low")).withColumn("low", F.least("x", "low"))
-        if large:
-            out = side.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("low").alias("y"))
-        else:
-            out = side.join(least, "x").filter("y <> low").select(F.col("y").alias("x"), F.col("low").alias("y"))
-            out = out.union(least.select("x", F.col("low").alias("y")))
-        return out.filter("x <> y").distinct()
-
-    edges = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    while True:
-        edges = written(starred(starred(edges, True), False), "links")
-        # Done when every member has one link, to one that has no smaller neighbour.
-        each = edges.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        inner = edges.join(each.select(F.col("x").alias("y")), "y", "left_semi").select("x")
-        if each.filter("n > 1").select("x").union(inner).isEmpty():
-            return edges.select(F.col("x").alias("k"), F.col("y").alias("label")).union(
-                edges.select(F.col("y").alias("k"), F.col("y").alias("label")).distinct())
-
-
 def labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds the labels of k and of its group's least member."""
-    few = sized(labels)
-    low = few.select(F.col("k").alias("least"), F.col("label").alias("low_label"))
-    return (shared.join(few, "k", "left").join(low, "least", "left")
+    low = labels.select(F.col("k").alias("least"), F.col("label").alias("low_label"))
+    return (shared.join(labels, "k", "left").join(low, "least", "left")
             .withColumn("label", F.coalesce("label", "k")).withColumn("low_label", F.coalesce("low_label", "least")))
 
 
 def across(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components within groups of at most GROUP members."""
     rows = labelled(shared.filter(F.col("size") <= GROUP), labels)
-    mixed = written(rows.filter("label <> low_label").select("g").distinct(), "mixed")
-    groups = rows.join(sized(mixed), "g", "left_semi").groupBy("g").agg(
-        F.sort_array(F.collect_set(F.struct("label", "k"))).alias("m"))
+    groups = rows.groupBy("g").agg(F.sort_array(F.collect_set(F.struct("label", "k"))).alias("m")).filter(
+        F.col("m")[0]["label"] != F.element_at("m", -1)["label"])
     # Many signatures have the same members: look at each list once.
     first = groups.select("m").distinct().select(F.explode("m").alias("p"), "m")
     pairs = first.select(F.col("p.k").alias("x"), F.explode(F.expr("filter(m, q -> q.label > p.label)")).alias("q"))
@@ -334,25 +306,20 @@ def block_pairs(known: DataFrame) -> DataFrame:
 
 def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labels (k, label) and sizes (k, n) of documents (k, text)."""
-    level, source, sizes, links = 1, docs, None, None
+    level, source, sizes, labels = 1, docs, None, None
     while True:
         shared, known = signatures(source, level)
         sizes = known.select("k", "n") if sizes is None else sizes
         star = shared.filter("k > least").select(F.col("least").alias("x"), F.col("k").alias("y")).distinct()
-        new = written(verified(possible(star, known), docs), "star")
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        labels = merged(labels, written(verified(possible(star, known), docs), "star"))
         # Groups that are one component have nothing left to find.
         more = across(shared, labels).join(star, ["x", "y"], "left_anti")
-        new = written(verified(possible(more, known), docs), "across")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
+        labels = merged(labels, written(verified(possible(more, known), docs), "across"))
         # Large groups of several components are not paired: a set that has
         # too many of their signatures loses its guarantee.
         large = labelled(shared.filter(F.col("size") > GROUP), labels)
-        mixed = written(large.filter("label <> low_label").select("g").distinct(), "mixed")
-        lost = (large.join(sized(mixed), "g", "left_semi").groupBy("k")
+        mixed = large.filter("label <> low_label").select("g").distinct()
+        lost = (large.join(mixed, "g", "left_semi").groupBy("k")
                 .agg(F.count(F.when(F.col("kind") == 0, 1)).alias("lost0"),
                      F.count(F.when(F.col("kind") == 1, 1)).alias("lost1")))
         weak = written(known.filter("n > 0").join(lost, "k", "left").filter(
@@ -361,8 +328,7 @@ def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return labels, sizes
         if level == 2:
             named = weak.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
-            new = written(verified(block_pairs(named), docs), "blocks")
-            return components(links.union(new)), sizes
+            return merged(labels, written(verified(block_pairs(named), docs), "blocks")), sizes
         level, source = 2, docs.join(sized(weak.select("k")), "k", "left_semi")
 
 

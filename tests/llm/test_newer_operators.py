@@ -8,14 +8,16 @@ import math
 import random
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
 
-from marquee.llm import conversation_repair, links, minhash, vector_codes
+from marquee.llm import conversation_repair, jaccard_join, links, minhash, vector_codes
+from marquee.llm.frames import map_slices
 
 from .conftest import awkward_rows, make_docs, prose
-from .test_exact_operators import SPLIT, as_rows, ascii_lower, rows_of
+from .test_exact_operators import SPLIT, as_rows, ascii_lower, brute_components, rows_of
 
 
 # ---------------------------------------------------------------- operator 11
@@ -70,6 +72,20 @@ def test_minhash_around_the_threshold(spark):
     assert found(make_docs(spark, rows).repartition(4)) == as_rows(brute_bigrams(rows))
 
 
+@pytest.mark.parametrize("operator, brute", [(minhash, brute_bigrams), (jaccard_join, brute_components)], ids=["bigrams", "shingles"])
+def test_links_are_confirmed_in_every_slice(spark, monkeypatch, operator, brute):
+    """Texts beyond the first slice of a batch are read from their own start."""
+    monkeypatch.setattr(operator, "map_slices", partial(map_slices, max_bytes=2500))
+    rows = []
+    for c in range(60):
+        base = prose(900 + c, 60, 5000).upper().split()
+        rows.append((len(rows), " ".join(base)))
+        for at in (1, 2, 3, 4):
+            rows.append((len(rows), " ".join(w if i % 12 or i // 12 >= at else f"new{c}" for i, w in enumerate(base))))
+    got = rows_of(operator.digest(operator.near_duplicates(make_docs(spark, rows).repartition(2))))
+    assert got == as_rows(brute(rows))
+
+
 @pytest.mark.parametrize("few", [1, 16])
 def test_minhash_keeps_links_in_mixed_buckets(spark, monkeypatch, few):
     """Many half-alike documents fill the same buckets; each has one near copy
