@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators.clean import als_triples
+from marquee.operators.top_products import top_products
 from marquee.session import checkpoint_dir
 
 # --- fixed values (reference ALS parameters) --------------------------------
@@ -52,11 +53,10 @@ def predict(model: ALSModel, triples: DataFrame) -> DataFrame:
 def candidates(model: ALSModel, per_user: int = CANDIDATES_PER_USER) -> DataFrame:
     """(userId, movieId, ALS_score): top ``per_user`` items of every user.
 
-    MLlib computes the top k per user block-wise (partial top k per block,
-    then merged). All user blocks meet all item blocks inside MLlib: the work
-    is users x items, as in the reference, though only the best are kept.
-    Already rated items are not excluded (reference behaviour).
+    The lists equal ``recommendForAllUsers`` (up to the order of scores that
+    agree in single precision), but items whose norm cannot reach a user's
+    list are not multiplied (see ``top_products``). Already rated items are not
+    excluded (reference behaviour).
     """
-    recs = model.recommendForAllUsers(per_user)
-    return recs.select("userId", F.explode("recommendations").alias("rec")).select(
-        "userId", F.col("rec.movieId").alias("movieId"), F.col("rec.rating").alias("ALS_score"))
+    found = top_products(model.userFactors, model.itemFactors, per_user)
+    return found.rows.select("userId", "movieId", F.col("score").alias("ALS_score"))

@@ -59,8 +59,8 @@ def item_scores(hybrid: DataFrame, als_candidates: DataFrame, ranker=None,
 
     With a trained ``ranker`` (operators.pairwise) both modes use its score
     of the item's (ALS_score, avg_rating, rating_count), sanitised and
-    multiplied by the clamped intent weight; the trees are SQL expressions,
-    so this stays JVM-side.
+    multiplied by the clamped intent weight; the model is walked by a
+    vectorised Python function, one batch of items at a time.
     """
     agg = aggregate_candidates(candidate_items(hybrid), ranking_item_scores(als_candidates, hybrid))
     if ranker is None:
@@ -191,8 +191,9 @@ def collaborative_candidates(als_candidates: DataFrame, movie_id: int) -> DataFr
     return collaborative_candidates_batch(als_candidates, seed).drop("seed_id")
 
 
-def collaborative_candidates_batch(als_candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Batch form over a table of seed items: (seed_id, movieId, als_score).
+def collaborative_candidates_batch(als_candidates: DataFrame, seeds: DataFrame, *more: str) -> DataFrame:
+    """Batch form over a table of seed items: (seed_id, movieId, als_score)
+    and the columns named besides.
 
     seeds → users reached (join on movieId) → those users' candidate rows
     (join on userId). Each user has a bounded candidate list, so the second
@@ -202,7 +203,25 @@ def collaborative_candidates_batch(als_candidates: DataFrame, seeds: DataFrame)
     reached = (als_candidates.select("userId", F.col("movieId").alias("seed_id"))
                .join(s, on="seed_id", how="inner").distinct())
     return reached.join(als_candidates, on="userId", how="inner").select(
-        "seed_id", "movieId", F.col("ALS_score").alias("als_score"))
+        "seed_id", "movieId", F.col("ALS_score").alias("als_score"), *more)
+
+
+def collaborative_scores(als_candidates: DataFrame, seeds: DataFrame, k: int = TOP_K, salts: int = 16) -> DataFrame:
+    """(seed_id, movieId, support, mean_score, rank): for every seed the k items
+    that most of its users were given, then by mean score, then by movieId; the
+    seed itself is left out.
+
+    Lists are summed per (seed, item, salt) first and per (seed, item) after
+    that, so a seed in a third of all lists is spread over ``salts`` groups an
+    item before its sums meet; pairs inside lists are not kept.
+    """
+    rows = collaborative_candidates_batch(als_candidates.withColumn("ALS_score", F.col("ALS_score").cast("double")), seeds, "userId")
+    salted = rows.filter("movieId <> seed_id").withColumn("_salt", F.pmod(F.xxhash64("userId"), F.lit(salts)))
+    part = salted.groupBy("seed_id", "movieId", "_salt").agg(F.count(F.lit(1)).alias("n"), F.sum("als_score").alias("s"))
+    per = part.groupBy("seed_id", "movieId").agg(F.sum("n").alias("support"), (F.sum("s") / F.sum("n")).alias("mean_score"))
+    per = per.withColumn("mean_score", F.round("mean_score", 6))
+    w = Window.partitionBy("seed_id").orderBy(F.col("support").desc(), F.col("mean_score").desc(), F.col("movieId"))
+    return per.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def users_reached_by_item(als_candidates: DataFrame, items: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ the text, made distinct and joined to the titles by equality. The rows of the
 first join carry a text id, never the text, and the rows of the second grow
 with the texts, not with texts x titles of a common prefix. Neither join
 broadcasts what was exploded.
+
+Taking a substring of a UTF-8 text walks from its start, so a text is first
+cut, in one pass, into pieces of ``PIECE`` characters; each piece is followed
+by as much of the text as the longest title needs. Positions and cuts are then
+within a piece, and work grows linearly with the text.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from marquee.functions.text import normalize_title
 
 GRAM_LENGTH = 8
+PIECE = 256
 
 
 def title_lookup(movies: DataFrame) -> DataFrame:
@@ -40,9 +46,20 @@ def title_lookup(movies: DataFrame) -> DataFrame:
                       F.col("_last.genres").alias("genres"), "first_pos")
 
 
-def _request_grams(texts: DataFrame, k: int, short_lengths: Column) -> DataFrame:
-    """(tid, n, pos, gram) for every position, for length k and for each
-    shorter length some title key has.
+def text_pieces(texts: DataFrame, longest: Column) -> DataFrame:
+    """(tid, piece, own, part): consecutive pieces of texts (tid, qn); ``own``
+    characters belong to the piece, ``part`` runs on for at least ``longest``
+    characters or to the end of the text."""
+    cuts = texts.select("tid", F.regexp_extract_all("qn", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("cuts"))
+    more = F.ceil(F.coalesce(longest, F.lit(0)) / PIECE).cast("int")
+    rows = cuts.select("tid", "cuts", F.posexplode("cuts").alias("piece", "mine"))
+    return rows.select("tid", "piece", F.length("mine").alias("own"),
+                       F.array_join(F.slice("cuts", F.col("piece") + 1, more + 1), "").alias("part"))
+
+
+def _request_grams(pieces: DataFrame, k: int, short_lengths: Column) -> DataFrame:
+    """(tid, piece, n, pos, gram) for every position, for length k and for
+    each shorter length some title key has.
 
     ``short_lengths`` is the array of distinct key lengths below k (at most
     k - 1 values, a proven bound, evaluated once as a scalar subquery). Each
@@ -50,12 +67,12 @@ def _request_grams(texts: DataFrame, k: int, short_lengths: Column) -> DataFrame
     gram, and short grams such as "e", hot in every text, never exist unless
     a title of that length does. The text itself is dropped in the same step.
     """
-    n = F.length("qn")
-    with_pos = texts.select("tid", "qn", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
+    with_pos = pieces.select("tid", "piece", "part", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("pos"))
+    n = F.length("part")
     lens = F.array_union(F.array(F.lit(k)), short_lengths)
-    grams = with_pos.select("tid", "qn", "pos", F.explode(lens).alias("_j")).filter(
-        F.col("_j") <= F.length("qn") - F.col("pos") + 1)
-    return grams.select("tid", n.alias("n"), "pos", F.substring("qn", F.col("pos"), F.col("_j")).alias("gram"))
+    grams = with_pos.select("tid", "piece", "part", "pos", F.explode(lens).alias("_j")).filter(
+        F.col("_j") <= n - F.col("pos") + 1)
+    return grams.select("tid", "piece", n.alias("n"), "pos", F.substring("part", F.col("pos"), F.col("_j")).alias("gram"))
 
 
 def title_pieces(texts: DataFrame, keys: DataFrame, k: int = GRAM_LENGTH) -> DataFrame:
@@ -64,12 +81,13 @@ def title_pieces(texts: DataFrame, keys: DataFrame, k: int = GRAM_LENGTH) -> Dat
     shapes = keys.select(F.substring("key", 1, k).alias("gram"), "klen").distinct()
     short_lengths = keys.filter(F.col("klen") < k).agg(
         F.array_sort(F.collect_set(F.col("klen").cast("int")))).scalar()
-    spots = _request_grams(texts, k, short_lengths).join(shapes.hint("shuffle_hash"), "gram").filter(
+    pieces = text_pieces(texts, keys.agg(F.max("klen")).scalar())
+    spots = _request_grams(pieces, k, short_lengths).join(shapes.hint("shuffle_hash"), "gram").filter(
         F.col("pos") + F.col("klen") - 1 <= F.col("n"))
-    # Bounded by the text's own length times the lengths titles have.
-    spots = spots.groupBy("tid").agg(F.collect_set(F.struct("pos", "klen")).alias("spots"))
-    cut = F.array_distinct(F.transform("spots", lambda s: F.substring(F.col("qn"), s["pos"], s["klen"])))
-    return texts.join(spots.hint("merge"), "tid").select("tid", F.explode(cut).alias("key"))
+    # Bounded by the piece's length times the lengths titles have.
+    spots = spots.groupBy("tid", "piece").agg(F.collect_set(F.struct("pos", "klen")).alias("spots"))
+    cut = F.array_distinct(F.transform("spots", lambda s: F.substring(F.col("part"), s["pos"], s["klen"])))
+    return pieces.join(spots.hint("merge"), ["tid", "piece"]).select("tid", F.explode(cut).alias("key"))
 
 
 def best_title_per_text(texts: DataFrame, lookup: DataFrame, k: int = GRAM_LENGTH) -> DataFrame:

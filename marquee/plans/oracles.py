@@ -341,3 +341,119 @@ SELECT userId, movieId, label,
        * CASE WHEN isnan(label - 1) OR label IS NULL THEN 1e-6 ELSE greatest(1e-6, CAST(label - 1 AS DOUBLE)) END
        AS weighted_score
 FROM ({_UTILITY})""")
+
+# --- evaluation on the held-out split ---------------------------------------
+_HELD_OUT = """
+split_ AS (SELECT userId, movieId, rating,
+                  CAST(('0x' || substr(md5('42:' || CAST(userId AS VARCHAR) || ':' || CAST(movieId AS VARCHAR)), 1, 8))::BIGINT % 10000 AS INTEGER) AS b
+           FROM hybrid WHERE userId IS NOT NULL AND movieId IS NOT NULL AND rating IS NOT NULL),
+train AS (SELECT * FROM split_ WHERE b < 8000),
+truth AS (SELECT userId, movieId, max(CAST(rating AS DOUBLE)) AS gain FROM split_ WHERE b >= 9000 GROUP BY 1, 2),
+lists AS (
+  SELECT 'popularity' AS list, movieId, row_number() OVER (ORDER BY n DESC, movieId) AS rank
+  FROM (SELECT movieId, count(DISTINCT userId) AS n FROM train GROUP BY 1) QUALIFY rank <= 10
+  UNION ALL
+  SELECT 'mean_rating', movieId, row_number() OVER (ORDER BY v DESC, movieId) AS rank
+  FROM (SELECT movieId, round((sum(CAST(rating AS DOUBLE)) + 5 * (SELECT avg(CAST(rating AS DOUBLE)) FROM train)) / (count(*) + 5), 9) AS v
+        FROM train GROUP BY 1) QUALIFY rank <= 10),
+best AS (SELECT userId, sum(gain / log2(rn + 1)) FILTER (rn <= 10) AS idcg, count(*) AS held
+         FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY gain DESC) AS rn FROM truth) GROUP BY 1),
+got AS (SELECT list, userId, sum(gain / log2(rank + 1)) AS dcg, count(*) AS hits, min(rank) AS first
+        FROM lists JOIN truth USING (movieId) GROUP BY 1, 2),
+per_user AS (
+  SELECT n.list, b.userId, CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0 END AS ndcg,
+         coalesce(hits, 0) / least(held, 10) AS recall, coalesce(1.0 / first, 0) AS reciprocal_rank
+  FROM best b CROSS JOIN (SELECT DISTINCT list FROM lists) n LEFT JOIN got g ON g.userId = b.userId AND g.list = n.list)
+"""
+ORACLES["ranking_quality"] = with_base("SELECT * FROM (WITH " + _HELD_OUT + """
+SELECT list, count(*) AS n_users, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall,
+       round(avg(reciprocal_rank), 6) AS reciprocal_rank FROM per_user GROUP BY list)""")
+ORACLES["user_quality"] = with_base("SELECT * FROM (WITH " + _HELD_OUT + """
+SELECT userId, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(reciprocal_rank, 6) AS reciprocal_rank
+FROM per_user WHERE list = 'popularity')""")
+ORACLES["out_of_fold_stats"] = with_base("""
+SELECT m.movieId, CAST(f.fold AS INTEGER) AS fold,
+       round(avg(CAST(h.rating AS DOUBLE)) FILTER (h.f <> f.fold), 6) AS avg_rating, count(h.rating) FILTER (h.f <> f.fold) AS rating_count
+FROM (SELECT DISTINCT movieId FROM hybrid) m CROSS JOIN range(3) AS f(fold) JOIN (
+  SELECT *, CAST(('0x' || substr(md5('1729:' || CAST(userId AS VARCHAR) || ':' || CAST(movieId AS VARCHAR)), 1, 8))::BIGINT % 10000 AS INTEGER) % 3 AS f
+  FROM hybrid) h ON h.movieId = m.movieId
+GROUP BY 1, 2""")
+
+# --- long texts --------------------------------------------------------------
+ORACLES["match_titles_documents"] = with_base(f"""
+SELECT query_id, movieId, genres, key AS title_key FROM (
+  SELECT q.query_id, l.movieId, l.genres, l.key, l.klen, l.first_pos
+  FROM (SELECT query_id, {normalize_sql('text')} AS qn FROM (
+          SELECT d.doc_id AS query_id, CASE WHEN m.title IS NULL OR d.text IS NULL THEN d.text ELSE
+                 substr(d.text, 1, length(d.text) // 2) || ' ' || m.title || ' ' || substr(d.text, length(d.text) // 2 + 1) END AS text
+          FROM documents d LEFT JOIN movies m ON d.doc_id = m.movieId AND d.doc_id % 3 = 0) WHERE text <> '') q
+  JOIN lookup l ON contains(q.qn, l.key))
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY klen DESC, first_pos ASC) = 1""")
+ORACLES["vocabulary_documents"] = with_base("""
+SELECT doc_id, word FROM (SELECT DISTINCT doc_id, lower(text) AS t FROM documents) d JOIN (
+  SELECT DISTINCT lower(unnest(string_split(concat_ws(' ', title, replace(genres, '|', ' ')), ' '))) AS word FROM movies) w
+  ON w.word <> '' AND contains(d.t, w.word)""")
+
+# --- edge cases of requests ---------------------------------------------------
+_EDGE = BASE.replace("SELECT CAST(p_partkey AS INTEGER) AS movieId,\n         p_name", "SELECT CAST(p_partkey AS INTEGER) AS movieId, p_name", 1).replace(
+    "CASE WHEN p_partkey % 50 = 0 THEN", f"CASE WHEN p_partkey % {A.EDGE_NO_GENRES} = 0 THEN NULL "
+    f"WHEN p_partkey % {A.EDGE_OWN_GENRE} = 0 THEN {_sql_str(A.EDGE_GENRE_PREFIX)} || CAST(p_partkey AS VARCHAR) WHEN p_partkey % 50 = 0 THEN", 1)
+_EDGE = _EDGE[:_EDGE.index("queries AS (")] + "queries AS (SELECT CAST(movieId AS BIGINT) AS query_id, title AS text FROM movies),\n" + _EDGE[_EDGE.index("lookup AS ("):]
+_EMPTY = BASE.replace("FROM clean_ratings r\n", "FROM (SELECT * FROM clean_ratings WHERE false) r\n", 1)
+assert A.EDGE_GENRE_PREFIX in _EDGE and _EMPTY != BASE
+ORACLES["recall_stage_edges"] = "WITH " + _EDGE.strip() + "\nSELECT query_id, stage FROM rec_status WHERE stage IS NOT NULL"
+ORACLES["recommend_status_edges"] = "WITH " + _EDGE.strip() + "\nSELECT query_id, status, message, n_recs FROM rec_status"
+ORACLES["recommend_status_empty"] = "WITH " + _EMPTY.strip() + "\nSELECT query_id, status, message, n_recs FROM rec_status"
+ORACLES["retrieve_seed_rows"] = with_base("""
+SELECT s.rkey, s.seed_id, i.movieId, i.genres
+FROM (SELECT DISTINCT array_to_string(req, '|') AS rkey, req, seed_id FROM eligible WHERE mode = 'title') s
+JOIN (SELECT DISTINCT movieId, genres FROM hybrid) i
+  ON i.genres IS NOT NULL AND i.movieId <> s.seed_id AND list_bool_and(list_transform(s.req, lambda g: contains(lower(i.genres), g)))""")
+ORACLES["collaborative_single"] = with_base("""
+SELECT a.movieId, round(a.ALS_score, 6) AS als_score
+FROM als a WHERE a.userId IN (SELECT userId FROM als WHERE movieId = 7)""")
+ORACLES["collaborative_scores"] = with_base("""
+SELECT seed_id, movieId, support, mean_score,
+       CAST(row_number() OVER (PARTITION BY seed_id ORDER BY support DESC, mean_score DESC, movieId) AS INTEGER) AS rank FROM (
+  SELECT s.seed_id, a.movieId, count(*) AS support, round(avg(CAST(a.ALS_score AS DOUBLE)), 6) AS mean_score
+  FROM (SELECT DISTINCT movieId AS seed_id FROM matched) s
+  JOIN (SELECT DISTINCT userId, movieId FROM als) r ON r.movieId = s.seed_id
+  JOIN als a ON a.userId = r.userId AND a.movieId <> s.seed_id GROUP BY 1, 2)
+QUALIFY rank <= 10""")
+
+# --- tables in, tables out ----------------------------------------------------
+ORACLES["offline_from_csv"] = ORACLES["build_ranking"]
+
+
+def _column_profile(table: str, column: str, kind: str) -> str:
+    number = f"CAST({column} AS DOUBLE)" if kind == "number" else "CAST(NULL AS DOUBLE)"
+    text = column if kind == "text" else "CAST(NULL AS VARCHAR)"
+    return (f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS n_rows, count(*) FILTER ({column} IS NULL) AS n_null, "
+            f"min({number}) AS low, max({number}) AS high, min({text}) AS low_text, max({text}) AS high_text FROM {table}")
+
+
+ORACLES["profile_columns"] = with_base("\nUNION ALL ".join(_column_profile(t, c, k) for t, columns in {
+    "movies": {"movieId": "number", "title": "text", "genres": "text"},
+    "ratings": {"userId": "number", "movieId": "number", "rating": "number", "timestamp": "number"},
+    "tags": {"userId": "number", "movieId": "number", "tag": "text", "timestamp": "number"},
+    "hybrid": {"userId": "number", "movieId": "number", "rating": "number", "genres": "text", "tag": "text"},
+    "queries": {"query_id": "number", "text": "text"}}.items() for c, k in columns.items()))
+_RAW = """
+WITH raw AS (
+  SELECT CASE WHEN l_quantity = 50 THEN 'nobody' ELSE CAST(o_custkey + 5000000000 AS VARCHAR) END AS userId,
+         CASE WHEN l_quantity <> 49 THEN CAST(CAST(l_partkey AS BIGINT) * 7000000001 AS VARCHAR) END AS movieId,
+         CASE l_linenumber WHEN 7 THEN '' WHEN 6 THEN '9' ELSE CAST(CAST(ceil(l_quantity / 5) / 2 AS DOUBLE) AS VARCHAR) END AS rating
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+judged AS (
+  SELECT *, CASE WHEN userId = 'nobody' THEN 'the user id is missing or no integer'
+                 WHEN movieId IS NULL THEN 'the movie id is missing or no integer'
+                 WHEN rating = '' THEN 'the rating is missing or no number'
+                 WHEN CAST(rating AS DOUBLE) > 5 THEN 'the rating lies outside 0.5 to 5' END AS reason FROM raw)
+"""
+ORACLES["ratings_balance"] = _RAW + "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n_rows FROM judged GROUP BY 1"
+ORACLES["quarantined_ratings"] = _RAW + """
+SELECT userId, movieId, rating, reason, count(*) AS n_rows FROM judged WHERE reason IS NOT NULL GROUP BY ALL"""
+ORACLES["dense_ratings"] = _RAW + """
+SELECT CAST(dense_rank() OVER (ORDER BY CAST(userId AS BIGINT)) - 1 AS INTEGER) AS userId,
+       CAST(dense_rank() OVER (ORDER BY CAST(movieId AS BIGINT)) - 1 AS INTEGER) AS movieId, CAST(rating AS FLOAT) AS rating
+FROM judged WHERE reason IS NULL"""

@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.text import extract_genres, normalize_title, split_genres
-from marquee.operators import clean, features, hybrid as hyb, retrieve
+from marquee.operators import clean, crossfit, features, hybrid as hyb, ids, quality, retrieve
 from marquee.operators.intent import parse_queries
 from marquee.operators.rank import top_k
 from marquee.operators.titles import match_titles
+from marquee.operators.vocabulary import vocabulary_hits
+from marquee.plans.offline import build_offline
 from marquee.plans.recommend import recommend_batch, request_intents
 from marquee.session import shared_dir
-from marquee.sources.adapter import driver_tables
-from marquee.sources.files import profile, read_movies_csv, write_csv, write_parquet
+from marquee.sources import profiles
+from marquee.sources.adapter import driver_tables, edge_movies
+from marquee.sources.files import profile, read_movies_csv, read_ratings_csv, read_tags_csv, write_csv, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -327,6 +330,153 @@ def ranker_pairs(spark, sf):
     return counts.filter(F.col("n_pairs") > 0).select("userId", "n_pairs")
 
 
+# ---------------------------------------------------------------- evaluation and cross-fitting
+def ranking_quality(spark, sf):
+    """Held-out quality of two lists that are the same for every user."""
+    train, truth = quality.train_and_held_out(driver_tables(spark, sf).hybrid)
+    lists = {"popularity": quality.popularity_list(train), "mean_rating": quality.mean_rating_list(train)}
+    return quality.ranking_quality(lists, truth).select(
+        "list", "n_users", _r6("ndcg"), _r6("recall"), _r6("reciprocal_rank"))
+
+
+def user_quality(spark, sf):
+    """The same per user, for the popularity list."""
+    train, truth = quality.train_and_held_out(driver_tables(spark, sf).hybrid)
+    found = quality.user_quality(quality.popularity_list(train), truth)
+    return found.select("userId", _r6("ndcg"), _r6("recall"), _r6("reciprocal_rank"))
+
+
+def out_of_fold_stats(spark, sf):
+    s = crossfit.out_of_fold_stats(driver_tables(spark, sf).hybrid)
+    return s.select("movieId", "fold", _r6("avg_rating"), "rating_count")
+
+
+# ---------------------------------------------------------------- edge cases of requests
+def _edge_requests(spark, sf):
+    """The batch over a catalog with null genres and genres of one movie."""
+    t = driver_tables(spark, sf)
+    movies = edge_movies(t.movies)
+    hybrid = hyb.build_hybrid(t.ratings, movies, t.tags)
+    # Every movie is asked for by its title here.
+    requests = movies.select(F.col("movieId").cast("long").alias("query_id"), F.col("title").alias("text"))
+    return recommend_batch(requests, movies, hybrid, t.als_candidates).status
+
+
+def recall_stage_edges(spark, sf):
+    """Requests of all three stages: a seed of its own genre reaches the third."""
+    return _edge_requests(spark, sf).filter(F.col("stage").isNotNull()).select("query_id", "stage")
+
+
+def recommend_status_edges(spark, sf):
+    """Statuses with ``error``: the named movie has no genres."""
+    return _edge_requests(spark, sf).select("query_id", "status", "message", "n_recs")
+
+
+def recommend_status_empty(spark, sf):
+    """Statuses when nobody has rated anything: there is nothing to suggest."""
+    t = driver_tables(spark, sf)
+    nothing = t.hybrid.filter(F.lit(False))
+    return recommend_batch(t.queries, t.movies, nothing, t.als_candidates).status.select("query_id", "status", "message", "n_recs")
+
+
+def retrieve_seed_rows(spark, sf):
+    """Strict candidates of every title request with its seed left out, as
+    rows per distinct (genre set, seed): the seed's own class shrinks by it."""
+    t = driver_tables(spark, sf)
+    seeds = _eligible(spark, sf).filter("mode = 'title'").select("rkey", "seed_id").distinct()
+    return seeds.join(retrieve_strict(spark, sf), "rkey").filter("movieId <> seed_id").select("rkey", "seed_id", "movieId", "genres")
+
+
+def collaborative_single(spark, sf):
+    """The single-seed form, for the movie of id 7."""
+    return retrieve.collaborative_candidates(driver_tables(spark, sf).als_candidates, 7).select("movieId", _r6("als_score"))
+
+
+def collaborative_scores(spark, sf):
+    t = driver_tables(spark, sf)
+    c = retrieve.collaborative_scores(t.als_candidates, _seeds(spark, sf))
+    return c.select("seed_id", "movieId", "support", "mean_score", "rank")
+
+
+# ---------------------------------------------------------------- tables in, tables out
+def offline_from_csv(spark, sf):
+    """The offline build from three CSV files: the ranking table."""
+    t = driver_tables(spark, sf)
+    root = shared_dir(spark, "offline")
+    for name, df in (("movies", t.movies), ("ratings", t.ratings), ("tags", t.tags)):
+        write_csv(df, f"{root}/{name}.csv")
+    built = build_offline(read_ratings_csv(spark, f"{root}/ratings.csv"), read_movies_csv(spark, f"{root}/movies.csv"),
+                          read_tags_csv(spark, f"{root}/tags.csv"), root=f"{root}/tables", als_candidates=t.als_candidates)
+    return built.ranking.select("userId", "movieId", _r6("ALS_score"), _r6("avg_rating"), "rating_count", "genres", "tag", "label")
+
+
+def profile_columns(spark, sf):
+    """Rows, nulls and bounds of every column; states of two halves merged."""
+    t = driver_tables(spark, sf)
+    states = None
+    for name, df in (("movies", t.movies), ("ratings", t.ratings), ("tags", t.tags), ("hybrid", t.hybrid), ("queries", t.queries)):
+        key = F.coalesce(F.col(df.columns[0]), F.lit(0))
+        for half in (0, 1):
+            part = profiles.column_states(df.filter(F.pmod(key, F.lit(2)) == half), name)
+            states = part if states is None else states.unionByName(part)
+    whole = profiles.column_profile(profiles.merged_states(states))
+    return whole.select("table_name", "column_name", "n_rows", "n_null", "low", "high", "low_text", "high_text")
+
+
+def _raw_ratings(spark, sf):
+    """Ratings as texts, with ids beyond 32 bits and rows that are wrong."""
+    t = driver_tables(spark, sf)
+    lines = t.raw("lineitem").join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    no = F.col("l_linenumber")
+    return lines.select(
+        F.when(F.col("l_quantity") == 50, "nobody").otherwise((F.col("o_custkey") + 5000000000).cast("string")).alias("userId"),
+        F.when(F.col("l_quantity") == 49, F.lit(None)).otherwise((F.col("l_partkey") * 7000000001).cast("string")).alias("movieId"),
+        F.when(no == 7, "").when(no == 6, "9").otherwise((F.ceil(F.col("l_quantity") / 5) / 2).cast("double").cast("string")).alias("rating"))
+
+
+def ratings_balance(spark, sf):
+    """Accepted rows and rejected rows by reason: together all rows."""
+    return ids.row_balance(ids.judged_ratings(_raw_ratings(spark, sf)))
+
+
+def quarantined_ratings(spark, sf):
+    return ids.quarantined(ids.judged_ratings(_raw_ratings(spark, sf))).groupBy("userId", "movieId", "rating", "reason").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+def dense_ratings(spark, sf):
+    """Accepted ratings with dense ids in place of 64-bit ones."""
+    rows, _, _ = ids.with_dense_ids(ids.accepted(ids.judged_ratings(_raw_ratings(spark, sf))))
+    return rows
+
+
+# ---------------------------------------------------------------- long texts
+def _planted_documents(spark, sf):
+    """Documents as requests; every third one names a title in its middle."""
+    t = driver_tables(spark, sf)
+    docs = t.raw("documents").select("doc_id", "text")
+    m = t.movies.select(F.col("movieId").cast("long").alias("m"), "title")
+    half = (F.length("text") / 2).cast("int")
+    planted = F.concat(F.substring("text", F.lit(1), half), F.lit(" "), F.col("title"), F.lit(" "),
+                       F.substring("text", half + 1, F.length("text")))
+    joined = docs.join(m, (F.col("doc_id") == F.col("m")) & (F.col("doc_id") % 3 == 0), "left")
+    return joined.select(F.col("doc_id").alias("query_id"), F.coalesce(planted, "text").alias("text"))
+
+
+def match_titles_documents(spark, sf):
+    """The title join over whole documents."""
+    return match_titles(_planted_documents(spark, sf), driver_tables(spark, sf).movies)
+
+
+def vocabulary_documents(spark, sf):
+    """Words of a vocabulary table (the words of all catalog titles and
+    genres) that occur in whole documents."""
+    t = driver_tables(spark, sf)
+    words = t.movies.select(F.explode(F.split(F.concat_ws(" ", "title", F.regexp_replace("genres", "[|]", " ")), " ")).alias("word"))
+    docs = t.raw("documents").select("doc_id", "text")
+    return vocabulary_hits(docs, words, "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "scan_csv_roundtrip": scan_csv_roundtrip,
     "write_parquet_roundtrip": write_parquet_roundtrip,
@@ -376,4 +526,20 @@ QUERIES: dict[str, Query] = {
     "training_rows_by_user": training_rows_by_user,
     "ranker_group_sizes": ranker_group_sizes,
     "ranker_pairs": ranker_pairs,
+    "ranking_quality": ranking_quality,
+    "user_quality": user_quality,
+    "out_of_fold_stats": out_of_fold_stats,
+    "match_titles_documents": match_titles_documents,
+    "vocabulary_documents": vocabulary_documents,
+    "recall_stage_edges": recall_stage_edges,
+    "recommend_status_edges": recommend_status_edges,
+    "recommend_status_empty": recommend_status_empty,
+    "retrieve_seed_rows": retrieve_seed_rows,
+    "collaborative_single": collaborative_single,
+    "collaborative_scores": collaborative_scores,
+    "offline_from_csv": offline_from_csv,
+    "profile_columns": profile_columns,
+    "ratings_balance": ratings_balance,
+    "quarantined_ratings": quarantined_ratings,
+    "dense_ratings": dense_ratings,
 }

@@ -27,6 +27,11 @@ QUERY_NO_SIGNAL = "hello there"
 QUERY_BLANK = "   "
 QUERY_SUBSTRING_TRAP = "award winning software"
 ALS_STANDIN_TOP = 50
+# The catalog of edge cases: movies without genres, and movies of a genre that
+# no other movie has.
+EDGE_NO_GENRES = 53
+EDGE_OWN_GENRE = 50
+EDGE_GENRE_PREFIX = "Noir-"
 # ---------------------------------------------------------------------------
 
 
@@ -87,6 +92,17 @@ def queries_from_movies(movies: DataFrame) -> DataFrame:
     return movies.select(mid.cast("long").alias("query_id"), text.alias("text"))
 
 
+def edge_movies(movies: DataFrame) -> DataFrame:
+    """The catalog with rows that requests stumble over: null genres (such a
+    seed is an error) and genres of one movie alone (nothing else has one of
+    them, so retrieval widens to the whole catalog)."""
+    mid = F.col("movieId")
+    genres = (F.when(mid % EDGE_NO_GENRES == 0, F.lit(None).cast("string"))
+              .when(mid % EDGE_OWN_GENRE == 0, F.concat(F.lit(EDGE_GENRE_PREFIX), mid.cast("string")))
+              .otherwise(F.col("genres")))
+    return movies.withColumn("genres", genres)
+
+
 def als_standin(ratings: DataFrame, top: int = ALS_STANDIN_TOP) -> DataFrame:
     """Deterministic stand-in for ALS output: a user's best-rated items.
 
@@ -180,11 +196,25 @@ class DriverTables:
         return self._memo("ranker_features",
                           lambda: ranker_features_from_parts(self.als_candidates, self.hybrid), persist=True)
 
+    @property
+    def crossfit_candidates(self) -> DataFrame:
+        """ALS candidates, each scored by a model that did not see its rating."""
+        from marquee.operators.crossfit import out_of_fold_candidates
+        return self._memo("crossfit_candidates", lambda: out_of_fold_candidates(self.hybrid), persist=True)
+
+    @property
+    def crossfit_features(self) -> DataFrame:
+        """Feature rows of the ranker without any trace of their own label."""
+        from marquee.operators.crossfit import crossfit_features
+        return self._memo("crossfit_features",
+                          lambda: crossfit_features(self.crossfit_candidates, self.hybrid), persist=True)
+
     @property
     def ranker_model(self):
-        """The pairwise ranker with all its rounds, trained once per session."""
+        """The pairwise ranker with all its rounds, trained once per session
+        on the cross-fitted features."""
         from marquee.operators.pairwise import train_pairwise
-        return self._memo("ranker_model", lambda: train_pairwise(self.ranker_features, track_accuracy=True))
+        return self._memo("ranker_model", lambda: train_pairwise(self.crossfit_features, track_accuracy=True))
 
     @property
     def ranking(self) -> DataFrame:

@@ -19,7 +19,7 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     no_sql = set(E.queries()) - set(E.oracle_sql()) - set(E.LLM_QUERIES)
     assert no_sql == {"als_fit_predict", "als_candidates", "ranker_train", "ranker_score", "recommend_model",
-                      "recommend_responses", "build_ranking_als"}
+                      "recommend_responses", "build_ranking_als", "crossfit_features", "ranking_quality_als", "als_topk_work"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,9 @@ def duck():
 
 @pytest.mark.parametrize("key", ["build_hybrid", "build_ranking", "match_titles", "parse_query",
                                  "recommend_batch", "recommend_status", "retrieve_relaxed",
-                                 "topk_features_per_user", "collaborative_candidates", "split_ratings"])
+                                 "topk_features_per_user", "collaborative_candidates", "split_ratings",
+                                 "ranking_quality", "user_quality", "out_of_fold_stats", "match_titles_documents",
+                                 "vocabulary_documents"])
 def test_oracle_agrees(spark, duck, key):
     sdf = E.queries()[key](spark, SF).toPandas()
     odf = duck.execute(E.oracle_sql()[key]).df()

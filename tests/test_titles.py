@@ -108,3 +108,58 @@ def test_pieces_grow_with_the_texts(spark):
         texts = t.queries.select(normalize_title("text").alias("qn")).filter("length(qn) > 0").distinct()
         rows.append(title_pieces(texts.selectExpr("md5(qn) AS tid", "qn"), keys).count())
     assert rows[1] <= 15 * rows[0]
+
+
+def test_titles_across_piece_borders(spark, monkeypatch):
+    """Titles of all lengths at all offsets around the borders of pieces, some
+    longer than a piece; characters outside the basic plane."""
+    from marquee.operators import titles
+    monkeypatch.setattr(titles, "PIECE", 16)
+    movies = [(1, "ab", "A"), (2, "a title of some length", "B"), (3, "x" * 50, "C"), (4, "😀é日本", "D"), (5, "q" * 16, "E"), (6, "zz" * 17, "F")]
+    rng_text = "lorem ipsum dolor sit amet consectetur adipiscing elit "
+    rows = []
+    for n in range(0, 40):
+        for _, title, _ in movies:
+            rows.append((len(rows), (rng_text * 2)[:n] + title + (rng_text * 2)[: 40 - n]))
+    rows.append((len(rows), "x" * 49))
+    rows.append((len(rows), "é" * 15 + "😀é日本" + "\n" + "ab"))
+    m = spark.createDataFrame(movies, "movieId int, title string, genres string")
+    q = spark.createDataFrame(rows, "query_id long, text string")
+    got = {r["query_id"]: (r["movieId"], r["genres"], r["title_key"]) for r in match_titles(q, m).collect()}
+    assert got == brute_force(rows, movies)
+
+
+def test_pieces_cover_a_text_once(spark):
+    from marquee.operators.titles import PIECE, text_pieces
+    from pyspark.sql import functions as F
+    texts = ["", "é", "a" * PIECE, "b\n😀" * PIECE, "x" * (3 * PIECE + 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "tid int, qn string")
+    rows = text_pieces(df, F.lit(PIECE + 3)).orderBy("tid", "piece").collect()
+    for t, text in enumerate(texts):
+        mine = [r for r in rows if r["tid"] == t]
+        assert "".join(r["part"][: r["own"]] for r in mine) == text
+        for r in mine:
+            assert r["part"] == text[r["piece"] * PIECE: r["piece"] * PIECE + len(r["part"])]
+            assert len(r["part"]) >= min(r["own"] + PIECE + 3, len(text) - r["piece"] * PIECE)
+
+
+def test_time_grows_with_the_length(spark):
+    """Texts of twice the length take about twice the time, not four times."""
+    import random
+    import time
+    rng = random.Random(1)
+    movies = spark.createDataFrame([(i, f"title number {i * 7919}", "Drama") for i in range(200)], "movieId int, title string, genres string")
+
+    def seconds(n):
+        text = "".join(rng.choice("abcdefgh é ") for _ in range(n // 2)) + " title number 79190 " + "".join(rng.choice("abcdefgh é ") for _ in range(n // 2))
+        q = spark.createDataFrame([(1, text)], "query_id long, text string")
+        took = []
+        for _ in range(2):
+            begin = time.perf_counter()
+            assert match_titles(q, movies).first()["movieId"] == 10
+            took.append(time.perf_counter() - begin)
+        return min(took)
+
+    seconds(20_000)
+    short, long = seconds(50_000), seconds(200_000)
+    assert long < 4 * 2.3 / 2 * short + 2.0, (short, long)
