@@ -23,12 +23,15 @@ requests (however many) are resolved once.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.scores import order_key, score_genre_mode, score_item_mode
 from marquee.functions.text import split_genres
 from marquee.operators.hybrid import ranking_item_scores
+from marquee.operators.titles import title_lookup
 
 TOP_K = 10
 KEEP = TOP_K + 1
@@ -125,33 +128,61 @@ def _top_movies(rows: DataFrame, part_cols: list[str], keep: int) -> DataFrame:
     return ranked.filter(F.col("_mr") <= keep).drop("_best", "_mr")
 
 
-def stage_lists(genre_sets: DataFrame, scores: DataFrame, keep: int = KEEP):
+@dataclass
+class Catalog:
+    """What retrieval and title search know of the catalog, whatever is asked:
+    the title lookup, the best rows per (mode, class), the substrings of the
+    classes' genres, and the best rows of the whole catalog."""
+
+    lookup: DataFrame
+    top: DataFrame
+    substrings: DataFrame
+    global_list: DataFrame
+
+    @classmethod
+    def of(cls, movies: DataFrame, scores: DataFrame, keep: int = KEEP) -> Catalog:
+        top = class_top(scores, keep)
+        return cls(title_lookup(movies), top, class_substrings(scores), _global_list(top, keep))
+
+    def written(self, path: str) -> Catalog:
+        """The same, kept as four tables below ``path``."""
+        spark, kept = self.top.sparkSession, {}
+        for f in fields(self):
+            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+            kept[f.name] = spark.read.parquet(f"{path}/{f.name}")
+        return Catalog(**kept)
+
+
+def _global_list(top: DataFrame, keep: int) -> DataFrame:
+    return _top_movies(top.select("mode", F.lit(3).alias("stage"), "movieId", "genres", "okey"), ["mode"], keep)
+
+
+def stage_lists(genre_sets: DataFrame, scores: DataFrame | None, keep: int = KEEP, catalog: Catalog | None = None):
     """Per (rkey, mode, stage in 1, 2): the best ``keep`` movies' rows; and
     per (mode) the stage-3 (whole catalog) list."""
-    top = class_top(scores, keep)
-    matches = genre_set_matches(genre_sets, class_substrings(scores))
+    top = class_top(scores, keep) if catalog is None else catalog.top
+    matches = genre_set_matches(genre_sets, class_substrings(scores) if catalog is None else catalog.substrings)
     per_set = matches.join(top, on="genres", how="inner").withColumn(
         "stage", F.explode(F.when(F.col("strict"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))))
     listed = _top_movies(per_set.select("rkey", "mode", "stage", "movieId", "genres", "okey"),
                          ["rkey", "mode", "stage"], keep)
-    global_list = _top_movies(top.select("mode", F.lit(3).alias("stage"), "movieId", "genres", "okey"),
-                              ["mode"], keep)
-    return listed, global_list
+    return listed, _global_list(top, keep) if catalog is None else catalog.global_list
 
 
 # --------------------------------------------------------------------------
 # Request side
 # --------------------------------------------------------------------------
 
-def resolve_intents(intents: DataFrame, scores: DataFrame, k: int = TOP_K) -> DataFrame:
+def resolve_intents(intents: DataFrame, scores: DataFrame | None, k: int = TOP_K, catalog: Catalog | None = None) -> DataFrame:
     """Top k candidates per distinct intent.
 
     ``intents``: distinct (ikey, seed_id, mode, rkey, req). Returns
     (ikey, stage, rank, movieId, genres, okey); an intent without any
-    candidate has no rows.
+    candidate has no rows. A ``catalog`` made for at least k + 1 rows takes the
+    place of the scores.
     """
     genre_sets = intents.select("rkey", "req").distinct()
-    listed, global_list = stage_lists(genre_sets, scores, k + 1)
+    listed, global_list = stage_lists(genre_sets, scores, k + 1, catalog)
     keyed = intents.select("ikey", "seed_id", "mode", "rkey")
     staged = keyed.join(listed, on=["rkey", "mode"], how="inner").select(
         "ikey", "seed_id", "stage", "movieId", "genres", "okey")

@@ -105,7 +105,7 @@ def best_title_per_text(texts: DataFrame, lookup: DataFrame, k: int = GRAM_LENGT
 
 
 def attach_titles(requests: DataFrame, movies: DataFrame, text_col: str = "text",
-                  k: int = GRAM_LENGTH) -> DataFrame:
+                  k: int = GRAM_LENGTH, lookup: DataFrame | None = None) -> DataFrame:
     """``requests`` plus (movieId, genres, title_key) of the named title, or
     nulls. All request columns are carried through one join on the text
     (no second join on the request id).
@@ -113,11 +113,12 @@ def attach_titles(requests: DataFrame, movies: DataFrame, text_col: str = "text"
     Requests are reduced to distinct texts first, so a text sent by a third
     of all users is normalised and matched once; the per-text winners (one
     row per text) join back by a shuffle join whose hot text partitions AQE
-    splits. Null or empty texts never match.
+    splits. Null or empty texts never match. A ``lookup`` made before (see
+    ``title_lookup``) serves many batches.
     """
     text = F.col(text_col)
     valid = text.isNotNull() & (text != "")
-    lookup = title_lookup(movies)
+    lookup = title_lookup(movies) if lookup is None else lookup
     # Distinct raw texts first: a text sent by many users is normalised and
     # matched once, and the regex work runs after the dedup shuffle.
     raw = requests.select(text.alias("_text")).filter(F.col("_text").isNotNull() & (F.col("_text") != "")) \

@@ -9,13 +9,16 @@ the adapter expressions.
 
 from __future__ import annotations
 
-from marquee.functions.text import GENRE_VOCAB, PUNCT_PATTERN, YEAR_PATTERN
+from marquee.functions.text import GENRE_VOCAB
 from marquee.sources import adapter as A
 
 
 # --- fixed values: code points that str.strip() removes, as ranges ----------
 TRIM_POINTS = ((9, 13), (28, 32), (133, 133), (160, 160), (5760, 5760), (8192, 8202), (8232, 8233), (8239, 8239),
                (8287, 8287), (12288, 12288))
+# What titles lose: a year in parentheses, and all but letters, digits, _ and the points above.
+YEAR = r"[(]\p{Nd}\p{Nd}\p{Nd}\p{Nd}[)]"
+OTHER = r"[^_\p{L}\p{N}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in TRIM_POINTS) + "]"
 # ---------------------------------------------------------------------------
 
 
@@ -28,8 +31,8 @@ def _list(values) -> str:
 
 
 def normalize_sql(x: str) -> str:
-    step1 = f"regexp_replace({x}, {_sql_str(YEAR_PATTERN)}, '', 'g')"
-    step2 = f"regexp_replace({step1}, {_sql_str(PUNCT_PATTERN)}, '', 'g')"
+    step1 = f"regexp_replace({x}, {_sql_str(YEAR)}, '', 'g')"
+    step2 = f"regexp_replace({step1}, {_sql_str(OTHER)}, '', 'g')"
     return strip_sql(f"lower({step2})")
 
 
@@ -457,3 +460,15 @@ ORACLES["dense_ratings"] = _RAW + """
 SELECT CAST(dense_rank() OVER (ORDER BY CAST(userId AS BIGINT)) - 1 AS INTEGER) AS userId,
        CAST(dense_rank() OVER (ORDER BY CAST(movieId AS BIGINT)) - 1 AS INTEGER) AS movieId, CAST(rating AS FLOAT) AS rating
 FROM judged WHERE reason IS NULL"""
+
+# --- models of the hand ---------------------------------------------------------
+ORACLES["responses_flat"] = with_base("""
+SELECT s.query_id, s.status, s.message, r.rank, r.movieId, r.title, r.genres
+FROM rec_status s LEFT JOIN rec_rows r ON r.query_id = s.query_id AND s.status = 'success'""")
+ORACLES["ranker_score_fixed"] = with_base("""
+SELECT userId, movieId, label,
+       (0.5 * CASE WHEN ALS_score <= 3.0 THEN -1.0 WHEN avg_rating <= 2.75 THEN 0.5 ELSE 2.0 END
+        + 0.5 * CASE WHEN rating_count <= 20 THEN 0.25 ELSE -0.25 END) * greatest(1e-6, CAST(label AS DOUBLE)) AS score
+FROM (SELECT userId, movieId, coalesce(ALS_score, 0) AS ALS_score, coalesce(avg_rating, 0) AS avg_rating,
+             coalesce(rating_count, 0) AS rating_count, coalesce(label, 0) AS label FROM ranking)
+QUALIFY row_number() OVER (PARTITION BY userId ORDER BY ALS_score DESC, movieId ASC, label DESC) <= 20""")

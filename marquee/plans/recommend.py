@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from marquee import schemas
 from marquee.functions.text import GENRE_VOCAB, extract_genres, requested_genres, strip_text, text_state
 from marquee.operators.rank import enrich_with_movies
-from marquee.operators.retrieve import TOP_K, item_scores, resolve_intents
+from marquee.operators.retrieve import TOP_K, Catalog, item_scores, resolve_intents
 from marquee.operators.titles import attach_titles
 from marquee.session import shared_dir
 
@@ -58,12 +58,12 @@ class RecommendResult:
                         .alias("recommendations")))
 
 
-def request_intents(queries: DataFrame, movies: DataFrame, vocab=GENRE_VOCAB) -> DataFrame:
+def request_intents(queries: DataFrame, movies: DataFrame, vocab=GENRE_VOCAB, lookup: DataFrame | None = None) -> DataFrame:
     """Per request: pre-status (or null when eligible), seed, mode, genre set,
     and the intent key used to resolve identical intents once."""
     q = queries.select("query_id", "text").withColumn("state", text_state("text"))
     q = q.withColumn("text_genres", extract_genres(strip_text("text"), vocab))
-    q = attach_titles(q, movies, "text").withColumnRenamed("movieId", "seed_id") \
+    q = attach_titles(q, movies, "text", lookup=lookup).withColumnRenamed("movieId", "seed_id") \
         .withColumnRenamed("genres", "seed_genres")
     ok = F.col("state") == "ok"
     seed = F.when(ok, F.col("seed_id"))
@@ -85,9 +85,12 @@ def request_intents(queries: DataFrame, movies: DataFrame, vocab=GENRE_VOCAB) ->
 def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
                     als_candidates: DataFrame, k: int = TOP_K, vocab=GENRE_VOCAB,
                     scores: DataFrame | None = None, persist_intents: bool = True,
-                    ranker=None) -> RecommendResult:
+                    ranker=None, catalog: Catalog | None = None) -> RecommendResult:
     """Recommendations for every request of ``queries``.
 
+    A ``catalog`` (``Catalog.of``) holds all that does not depend on the
+    requests; with it, a batch only searches titles and resolves its intents.
+
     ``scores`` (item scores) can be passed in when several batches reuse one
     catalog; it is otherwise derived from hybrid + candidates, with the
     linear scores, or with a trained pairwise ``ranker`` when given.
@@ -98,17 +101,17 @@ def recommend_batch(queries: DataFrame, movies: DataFrame, hybrid: DataFrame,
     consumer. A repartition by intent key would let the two consumers share
     a shuffle, but would put a hot intent's requests into one task.
     """
-    intents = request_intents(queries, movies, vocab)
+    intents = request_intents(queries, movies, vocab, None if catalog is None else catalog.lookup)
     if persist_intents:
         spark = queries.sparkSession
         path = shared_dir(spark, "intents")
         intents.write.mode("overwrite").parquet(path)
         intents = spark.read.parquet(path)
-    if scores is None:
+    if scores is None and catalog is None:
         scores = item_scores(hybrid, als_candidates, ranker=ranker)
     distinct_intents = intents.filter(F.col("ikey").isNotNull()).select(
         "ikey", "seed_id", "mode", "rkey", "req").distinct()
-    resolved = resolve_intents(distinct_intents, scores, k).withColumnRenamed("okey", "score")
+    resolved = resolve_intents(distinct_intents, scores, k, catalog).withColumnRenamed("okey", "score")
     # Every row of an intent carries the same (chosen) stage, so the status
     # counts and the stage come from one aggregate over the enriched rows.
     per_intent = enrich_with_movies(resolved.select("ikey", "rank", "movieId", "genres", "score", "stage"),

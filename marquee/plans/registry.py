@@ -256,6 +256,14 @@ def recommend_responses(spark, sf):
     return _recommend(spark, sf).responses()
 
 
+def responses_flat(spark, sf):
+    """The nested responses, one row per recommendation (one of nulls where
+    there is none)."""
+    r = _recommend(spark, sf).responses()
+    return r.select("query_id", "status", "message", F.explode_outer("recommendations").alias("r")).select(
+        "query_id", "status", "message", "r.rank", "r.movieId", "r.title", "r.genres")
+
+
 def filter_by_genres(spark, sf):
     return retrieve.filter_by_genres(["Drama", "Romance"], driver_tables(spark, sf).hybrid)
 
@@ -477,6 +485,17 @@ def vocabulary_documents(spark, sf):
     return vocabulary_hits(docs, words, "doc_id")
 
 
+def ranker_score_fixed(spark, sf):
+    """Scores of a hand-made model of two trees (the model walk without a
+    learned model), weighted by the label."""
+    from marquee.operators.pairwise import PairwiseRanker, Tree, score_rows
+    one = Tree([("split", 0, 3.0, 1, 2), ("leaf", -1.0), ("split", 1, 2.75, 3, 4), ("leaf", 0.5), ("leaf", 2.0)])
+    two = Tree([("split", 0, 20.0, 1, 2), ("leaf", 0.25), ("leaf", -0.25)])
+    model = PairwiseRanker(list(features.FEATURE_COLUMNS), [(["ALS_score", "avg_rating"], one), (["rating_count"], two)], 0.5, [])
+    scored = score_rows(driver_tables(spark, sf).ranker_features, model, intent_weight="label")
+    return scored.select("userId", "movieId", "label", "score")
+
+
 QUERIES: dict[str, Query] = {
     "scan_csv_roundtrip": scan_csv_roundtrip,
     "write_parquet_roundtrip": write_parquet_roundtrip,
@@ -542,4 +561,6 @@ QUERIES: dict[str, Query] = {
     "ratings_balance": ratings_balance,
     "quarantined_ratings": quarantined_ratings,
     "dense_ratings": dense_ratings,
+    "responses_flat": responses_flat,
+    "ranker_score_fixed": ranker_score_fixed,
 }

@@ -12,12 +12,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marquee.functions.text import GENRE_VOCAB
+
 # --- fixed values (adapter definition) -------------------------------------
-# Genre names indexed 0..13 by key % 14.
-ADAPTER_GENRES = (
-    "Action", "Adventure", "Animation", "Comedy", "Crime", "Drama", "Fantasy",
-    "Horror", "Mystery", "Romance", "Sci-Fi", "Thriller", "War", "Western",
-)
+# The vocabulary's genres, capitalised, indexed 0..13 by key % 14.
+ADAPTER_GENRES = tuple(g.title() for g in GENRE_VOCAB)
 NO_GENRES = "(no genres listed)"
 # Request templates chosen by movieId % 8.
 QUERY_PREFIX_WATCHED = "I watched "
@@ -226,14 +225,27 @@ class DriverTables:
 _SESSION_TABLES: dict = {}
 
 
+def data_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files below ``sf_dir``, as its file system
+    lists them: a folder whose data changed has another version."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir.rstrip("/"))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, listed = [], fs.listFiles(folder, True)
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def driver_tables(spark: SparkSession, sf_dir: str, materialize: bool = True,
                   reuse: bool = True) -> DriverTables:
     """Derived tables of ``sf_dir``. With ``reuse`` one instance serves every
     job of the session, so the persisted tables (like the reference's
-    offline Parquet tables) are built once, by the first job needing them."""
+    offline Parquet tables) are built once, by the first job needing them, and
+    anew when the files of the folder have changed."""
     if not (reuse and materialize):
         return DriverTables(spark, sf_dir, materialize)
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _SESSION_TABLES:
-        _SESSION_TABLES[key] = DriverTables(spark, sf_dir, materialize)
-    return _SESSION_TABLES[key]
+    key, version = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), data_version(spark, sf_dir)
+    if key not in _SESSION_TABLES or _SESSION_TABLES[key][0] != version:
+        _SESSION_TABLES[key] = version, DriverTables(spark, sf_dir, materialize)
+    return _SESSION_TABLES[key][1]

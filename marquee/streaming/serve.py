@@ -1,10 +1,11 @@
 """Serve a stream of requests with the batch plan (Structured Streaming).
 
 Each micro-batch of (query_id, text) rows is answered by
-``plans.recommend.recommend_batch`` against static catalog tables whose item
-scores are computed once and persisted. Output is written per epoch with
-overwrite semantics, so a replayed epoch (after a failure) replaces its own
-output instead of duplicating it.
+``plans.recommend.recommend_batch``. All that does not depend on the requests
+(title lookup, best items per class and of the whole catalog, substrings of the
+classes) is written once when the query starts. Output is written per epoch
+with overwrite semantics, so a replayed epoch (after a failure) replaces its
+own output instead of duplicating it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marquee.operators.retrieve import item_scores
+from marquee.operators.retrieve import Catalog, item_scores
 from marquee.plans.recommend import recommend_batch
 from marquee.session import shared_dir
 
@@ -29,10 +30,10 @@ def serve_requests(requests: DataFrame, movies: DataFrame, hybrid: DataFrame, al
     spark = requests.sparkSession
     scores_path = shared_dir(spark, "item-scores")
     item_scores(hybrid, als_candidates).write.mode("overwrite").parquet(scores_path)
-    scores = spark.read.parquet(scores_path)
+    catalog = Catalog.of(movies, spark.read.parquet(scores_path)).written(shared_dir(spark, "catalog"))
 
     def answer(batch: DataFrame, epoch_id: int) -> None:
-        result = recommend_batch(batch, movies, hybrid, als_candidates, scores=scores, persist_intents=False)
+        result = recommend_batch(batch, movies, hybrid, als_candidates, persist_intents=False, catalog=catalog)
         (result.responses().withColumn("epoch", F.lit(epoch_id))
          .write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/epoch={epoch_id}"))
 

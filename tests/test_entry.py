@@ -34,10 +34,31 @@ def duck():
                                  "recommend_batch", "recommend_status", "retrieve_relaxed",
                                  "topk_features_per_user", "collaborative_candidates", "split_ratings",
                                  "ranking_quality", "user_quality", "out_of_fold_stats", "match_titles_documents",
-                                 "vocabulary_documents"])
+                                 "vocabulary_documents", "responses_flat", "ranker_score_fixed", "recall_stage_edges",
+                                 "recommend_status_edges", "recommend_status_empty", "dense_ratings", "collaborative_scores"])
 def test_oracle_agrees(spark, duck, key):
     sdf = E.queries()[key](spark, SF).toPandas()
     odf = duck.execute(E.oracle_sql()[key]).df()
     assert sorted(sdf.columns) == sorted(odf.columns)
     assert len(sdf) == len(odf)
     assert _rows(sdf) == _rows(odf)
+
+
+def test_edge_requests_reach_every_stage_and_status(spark):
+    qs = E.queries()
+    assert {r["stage"] for r in qs["recall_stage_edges"](spark, SF).select("stage").distinct().collect()} == {1, 2, 3}
+    assert {r["stage"] for r in qs["recall_stage"](spark, SF).select("stage").distinct().collect()} >= {1, 2}
+    assert {r["status"] for r in qs["recommend_status_edges"](spark, SF).collect()} >= {"error", "success"}
+    assert {r["status"] for r in qs["recommend_status_empty"](spark, SF).collect()} <= {"fallback", "error"}
+
+
+def test_changed_files_are_read_anew(spark, tmp_path):
+    from marquee.sources.adapter import driver_tables
+    for name in ("lineitem", "orders", "part"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    t = driver_tables(spark, str(tmp_path))
+    n = t.ratings.count()
+    assert driver_tables(spark, str(tmp_path)) is t
+    spark.read.parquet(f"{SF}/lineitem.parquet").limit(50).write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    again = driver_tables(spark, str(tmp_path))
+    assert again is not t and again.ratings.count() == n + 50
