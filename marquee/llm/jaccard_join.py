@@ -61,6 +61,7 @@ SINGLES_UP_TO = 64  # bands in which every shingle is a part
 PARTS = 0.36  # parts per size of the band's largest set
 BLOCK = 512
 BROADCAST_ROWS = 1_000_000  # keys of 8 or 16 bytes
+SLICE = 2 << 20  # bytes of text worked on at a time
 # -----------------------------------------------------------------------------
 
 
@@ -197,7 +198,7 @@ def signature_rows(part: pa.RecordBatch, level: int) -> pa.RecordBatch:
 
 def signatures(texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """Shared signatures (g, k, kind, least, size) and texts (k, n, slacks, sketch)."""
-    rows = map_slices(texts.select("k", "text"), lambda part: signature_rows(part, level), ROWS)
+    rows = map_slices(texts.select("k", "text"), lambda part: signature_rows(part, level), ROWS, max_bytes=SLICE)
     w = Window.partitionBy("g")
     cut, text = F.col("real").isNotNull(), F.col("kind") == TEXT_ROW
     rows = (rows.withColumn("low", F.min("k").over(w)).withColumn("high", F.max("k").over(w))
@@ -257,7 +258,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return part.filter(pa.array(similar(na, nb, common) & (na > 0))).select(["x", "y"])
 
     rows = pairs.join(one, "x").join(two, "y")
-    return map_slices(rows.select("x", "y", "tx", "text"), compare, "x long, y long")
+    return map_slices(rows.select("x", "y", "tx", "text"), compare, "x long, y long", max_bytes=SLICE)
 
 
 def labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:

@@ -62,8 +62,9 @@ LEAST_SHARE = (4, 5)  # links from an intersection of 4/5 of the union
 LEVELS = ((6, 48), (12, 192))  # rows and bands of the signatures
 FEW = 512
 LEAST_AGREEMENT = 0.68  # of the bins, for a pair to be read
-SKETCH = 8  # words of 64 bits
+SKETCH = 16  # words of 64 bits
 BROADCAST_KEYS = 1_000_000
+SLICE = 2 << 20  # bytes of text worked on at a time
 CELLS = 1 << 19  # bins of documents worked on at a time
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 # -----------------------------------------------------------------------------
@@ -171,7 +172,7 @@ def signatures(texts: DataFrame, level: int) -> DataFrame:
     schema = T.StructType([T.StructField("kind", T.ByteType()), *[T.StructField(c, T.LongType()) for c in "gkn"],
                            T.StructField("bins", T.BinaryType()),
                            *[T.StructField(w, T.LongType()) for w in WORDS], texts.schema["id"]])
-    return written(map_slices(texts.select("id", "k", "text"), lambda part: signature_rows(part, level), schema), f"bins{level}")
+    return written(map_slices(texts.select("id", "k", "text"), lambda part: signature_rows(part, level), schema, max_bytes=SLICE), f"bins{level}")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return part.filter(pa.array(similar(na, nb, common) & (na > 0))).select(["x", "y"])
 
     rows = pairs.join(one, "x").join(two, "y").select("x", "y", "tx", "text")
-    return written(map_slices(rows, compare, "x long, y long"), "confirmed")
+    return written(map_slices(rows, compare, "x long, y long", max_bytes=SLICE), "confirmed")
 
 
 def star_edges(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:

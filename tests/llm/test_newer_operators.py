@@ -8,13 +8,11 @@ import math
 import random
 import zlib
 from collections import Counter
-from functools import partial
 
 import numpy as np
 import pytest
 
 from marquee.llm import conversation_repair, jaccard_join, links, minhash, vector_codes
-from marquee.llm.frames import map_slices
 
 from .conftest import awkward_rows, make_docs, prose
 from .test_exact_operators import SPLIT, as_rows, ascii_lower, brute_components, rows_of
@@ -75,7 +73,7 @@ def test_minhash_around_the_threshold(spark):
 @pytest.mark.parametrize("operator, brute", [(minhash, brute_bigrams), (jaccard_join, brute_components)], ids=["bigrams", "shingles"])
 def test_links_are_confirmed_in_every_slice(spark, monkeypatch, operator, brute):
     """Texts beyond the first slice of a batch are read from their own start."""
-    monkeypatch.setattr(operator, "map_slices", partial(map_slices, max_bytes=2500))
+    monkeypatch.setattr(operator, "SLICE", 2500)
     rows = []
     for c in range(60):
         base = prose(900 + c, 60, 5000).upper().split()
