@@ -37,7 +37,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 CLOUD_KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
-CREDENTIAL = re.compile(r"(?<![\w/+])[A-Za-z0-9_/+-]{16,256}(?![\w/+])")
+# Of any length; a run is read once, from its first character.
+CREDENTIAL = re.compile(r"(?<![\w/+-])[A-Za-z0-9_/+-]{16,}+(?![\w/+])")
 NATIONAL_ID = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")
 # Start score of a proposal, by kind.
@@ -107,7 +108,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], BASE_KINDS.index(s[0])))
 
 
+def without_spans(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with blanks in place of spans: words inside an address say
+    nothing about its neighbours."""
+    out, done = [], 0
+    for _, a, b in spans:
+        out += [text[done:a], " " * (b - max(a, done))]
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
 def context_score(text: str, kind: str, start: int, end: int) -> float:
+    """``text`` is read around the span, without the base spans."""
     near = {w.lower() for w in WORD.findall(text, max(0, start - NEAR), start)}
     near |= {w.lower() for w in WORD.findall(text, end, end + NEAR)}
     score = START[kind] + RAISE * bool(near & set(CONTEXT[kind])) - LOWER * bool(near & set(AGAINST))
@@ -120,7 +132,7 @@ def mixed(token: str) -> bool:
     return flips >= 4 and any(c.isalpha() for c in token)
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
+def added_spans(text: str, base: list[tuple[str, int, int]], clear: str) -> list[tuple[str, int, int, float]]:
     proposals = [("iban", *m.span()) for m in IBAN.finditer(text)
                  if 15 <= len(a := m[0].replace(" ", "")) <= 34 and mod97(a)]
     certain = {m.span() for m in CLOUD_KEY.finditer(text)}
@@ -130,7 +142,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     out: list[tuple[str, int, int, float]] = []
     taken = sorted((a, b) for _, a, b in base)
     for kind, a, b in proposals:
-        score = 1.0 if (a, b) in certain else context_score(text, kind, a, b)
+        score = 1.0 if (a, b) in certain else context_score(clear, kind, a, b)
         if score >= MIN_SCORE and not any(x < b and a < y for x, y in taken):
             out.append((kind, a, b, score))
             taken.append((a, b))
@@ -141,8 +153,9 @@ def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     """All spans of a text: kind, start, end, score, whether a base span."""
     base = base_spans(text)
     kinds = BASE_KINDS + ADDED_KINDS
-    spans = [(k, a, b, context_score(text, k, a, b), True) for k, a, b in base]
-    spans += [(*s, False) for s in added_spans(text, base)]
+    clear = without_spans(text, base)
+    spans = [(k, a, b, context_score(clear, k, a, b), True) for k, a, b in base]
+    spans += [(*s, False) for s in added_spans(text, base, clear)]
     return sorted(spans, key=lambda s: (s[1], kinds.index(s[0])))
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -338,3 +339,23 @@ def test_token_files(spark, awkward, nothing):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], r["ids"]) == (doc, start, len(ids), crc, ids)
         start += len(ids)
     assert token_store.load(token_store.store(nothing)).count() == 0
+
+
+def test_credentials_of_any_length():
+    for n in (16, 255, 256, 257, 5000):
+        secret = ("a1" * n)[:n]
+        assert ("secret", 8, 8 + n) in [s[:3] for s in pii.find_spans(f"token = {secret} and more")]
+    start = time.perf_counter()
+    pii.find_spans("a1-" * 100_000 + "é" + "b2+" * 100_000 + "é")
+    assert time.perf_counter() - start < 5
+
+
+def test_words_inside_an_address_are_no_context():
+    secret = "1eb9a7c3d5f2e4b6a8c0"
+    text = f"write to joe@mail2.example.com token = {secret}"
+    at = text.index(secret)
+    assert ("secret", at, at + len(secret)) in [s[:3] for s in pii.find_spans(text)]
+    plain = f"an example of a token = {secret}"
+    assert [s for s in pii.find_spans(plain) if s[0] == "secret"] == []
+    assert pii.without_spans("ab@cd.ef x 1.2.3.4", [("email", 0, 8), ("ip", 11, 18)]) == " " * 9 + "x" + " " * 8
+    assert pii.without_spans("abcdef", [("card", 0, 4), ("phone", 2, 5)]) == "     f"
