@@ -53,6 +53,8 @@ CHECKPOINT_EVERY = 5
 BINS = 64
 # Cells of a round that the driver holds at most.
 MAX_CELLS = 500_000
+# Rows of a group at most: each row meets the list of its group.
+MAX_GROUP = 100
 
 
 def pair_counts(features: DataFrame, group_col: str = "userId", label_col: str = "label") -> DataFrame:
@@ -254,7 +256,8 @@ class PairwiseRanker:
 def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: float = LEARNING_RATE,
                    max_depth: int = MAX_DEPTH, subsample: float = SUBSAMPLE, colsample: float = COLSAMPLE,
                    seed: int = 42, feature_cols=FEATURE_COLUMNS, track_accuracy: bool = False) -> PairwiseRanker:
-    """Boost ``n_trees`` trees on (userId, features..., label) rows."""
+    """Boost ``n_trees`` trees on (userId, features..., label) rows, at most
+    ``MAX_GROUP`` of a user (the feature step keeps 20); more are an error."""
     cols = list(feature_cols)
     rng = random.Random(seed)
     # Rows are sampled by what they hold, so trees do not depend on files or
@@ -268,6 +271,9 @@ def train_pairwise(features: DataFrame, n_trees: int = N_TREES, learning_rate: f
     # (a checkpoint does not carry it), at most one shuffle of the rows.
     n_parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = base.withColumn("score", F.lit(0.0)).repartition(n_parts, "userId")
+    largest = state.groupBy("userId").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MAX_GROUP:
+        raise ValueError(f"a user has {largest} rows; keep the best {MAX_GROUP} or fewer")
     edges = bin_edges(state, cols)
     for i, cuts in enumerate(edges):
         value = F.col(cols[i])

@@ -64,3 +64,10 @@ def test_als_blocks_are_fixed(small):
     right = {(r[0], r[1]): r[2] for r in b.collect()}
     both = left.keys() & right.keys()
     assert len(both) >= 0.999 * len(left) and all(abs(left[k] - right[k]) < 1e-4 for k in both)
+
+
+def test_a_group_that_is_too_large_is_an_error(spark):
+    rows = spark.createDataFrame([(1, i, float(i), 1.0, 1, float(i % 2)) for i in range(150)],
+                                 "userId int, movieId int, ALS_score double, avg_rating double, rating_count long, label double")
+    with pytest.raises(ValueError, match="150 rows"):
+        train_pairwise(rows, n_trees=1)
