@@ -81,3 +81,21 @@ def test_candidates_equal_mllib(small):
     assert both.filter("ALS_score IS NULL OR theirs IS NULL OR abs(ALS_score - theirs) > 1e-4").count() == 0
     predicted = model.transform(ours.select("userId", "movieId", "ALS_score"))
     assert predicted.filter("abs(prediction - ALS_score) > 1e-4").count() == 0
+
+
+def test_users_and_items_do_not_multiply_on_disk(spark):
+    """Many tiles and blocks: lists come from one pass, nothing of a user is
+    sent per tile, and block and pack sizes do not change a list."""
+    from marquee.operators.top_products import blocks_of
+
+    rng = np.random.default_rng(5)
+    users = [(i, rng.random(4)) for i in range(90)]
+    items = [(500 + i, rng.random(4)) for i in range(600)]
+    lists = []
+    for block in (7, 1000):
+        found = top_products(*frames(spark, users, items), 10, item_tile=16, user_block=block)
+        check(found, users, items, 10)
+        assert "Exchange" not in found.rows._jdf.queryExecution().toString()
+        lists.append([r["movieId"] for r in found.rows.orderBy("userId", "rank").collect()])
+    assert lists[0] == lists[1]
+    assert blocks_of(600_000, 12, 131_072) == 24 and blocks_of(3_600_000, 12, 131_072) == 28
