@@ -1,9 +1,9 @@
 """Which words of a vocabulary table occur in which texts.
 
 The request rule (a word counts wherever it is a substring of the lowered
-text) for vocabularies of any size: words and texts meet by equality on short
-grams, as titles do (see ``titles``), so neither the words nor the texts are
-multiplied by each other and nothing is broadcast or collected.
+text) for vocabularies of any size: words are found in the texts as titles are
+(see ``titles``), so neither the words nor the texts are multiplied by each other
+and only a filter of bounded size is broadcast.
 """
 
 from __future__ import annotations

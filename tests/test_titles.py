@@ -163,3 +163,23 @@ def test_time_grows_with_the_length(spark):
     seconds(20_000)
     short, long = seconds(50_000), seconds(200_000)
     assert long < 4 * 2.3 / 2 * short + 2.0, (short, long)
+
+
+def test_only_possible_titles_leave_the_texts(spark):
+    """No row per position: from long texts without a title next to nothing
+    comes out, and a title of any length is never missed."""
+    import random
+
+    from marquee.operators.titles import title_pieces
+    rng = random.Random(4)
+    titles = ["".join(rng.choice("abcdefg ") for _ in range(n)) + "x" for n in range(1, 40) for _ in range(20)]
+    keys = spark.createDataFrame([(t, len(t)) for t in sorted(set(titles))], "key string, klen int").filter("klen > 4")
+    noise = ["".join(rng.choice("hijklmnop é😀") for _ in range(20_000)) for _ in range(20)]
+    texts = [t[:700 + i] + titles[30 * i + 120] + t[700 + i:] for i, t in enumerate(noise)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts + noise)], "tid string, qn string")
+    plan = title_pieces(df, keys)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    found = {(r["tid"], r["key"]) for r in plan.collect()}
+    known = {t for t in titles if len(t) > 4}
+    assert {(str(i), t) for i, x in enumerate(texts) for t in known if t in x} <= found
+    assert len(found) < 200
