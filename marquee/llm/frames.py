@@ -144,17 +144,17 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def training_rows(labels: DataFrame, label: str, limit: int, id_col: str = "doc_id",
+def training_rows(labels: DataFrame, label: str, limit: int | None, id_col: str = "doc_id",
                   held_out: bool = True) -> DataFrame:
     """A bounded, repeatable sample of labelled ids: the ``limit`` rows whose
-    id hashes lowest. Held-out ids (crc32 of the id as text, mod 5 = 0) are
+    id hashes lowest (None: all rows). Held-out ids (crc32 of the id as text, mod 5 = 0) are
     left out when ``held_out``; null ids and labels never count; an id with
     two labels counts once, with the greater."""
     rows = labels.select(F.col(id_col).alias(id_col), F.col(label).cast("int").alias("label")).dropna()
     if held_out:
         rows = rows.filter(~is_held_out(F.col(id_col)))
     rows = rows.groupBy(id_col).agg(F.max("label").alias("label"))
-    return rows.orderBy(F.xxhash64(id_col), F.col(id_col)).limit(limit)
+    return rows if limit is None else rows.orderBy(F.xxhash64(id_col), F.col(id_col)).limit(limit)
 
 
 def is_held_out(doc_id) -> F.Column:

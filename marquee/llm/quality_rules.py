@@ -4,9 +4,11 @@ Rule statistics of each whole text; two hard rules; and an isolation forest
 over the statistics, whose path lengths over random splits single out unusual
 documents. The threshold comes from labelled rows.
 
-The forest is fitted on a bounded sample (``SAMPLE_ROWS`` documents, the ones
-whose ids hash lowest; 100 trees of 256 of them). Each document is scored by
-itself inside its scan task: no shuffle, nothing gathered per group.
+Forest and threshold come from all labelled documents, whatever their number:
+tasks measure them, Spark counts equal points of the forest's (coarse) space by
+label, and the driver holds the counted points. Each of the 100 trees draws 256
+documents from the whole (the method's own subsample); the threshold weighs every
+labelled document. Each document is scored by itself inside its scan task.
 
 Defined results: a null or empty text has no words and fails the base rules;
 repeated rows give repeated results; null ids are kept; an empty table gives
@@ -28,7 +30,6 @@ from marquee.llm.frames import Words, map_slices, training_rows
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SAMPLE_ROWS = 20_000
 TREES = 100
 TREE_ROWS = 256
 # Rejecting a share of the labelled good rows costs so many times as much as
@@ -114,11 +115,14 @@ class IsolationForest:
     apart is unusual. Trees are stored as flat arrays, scoring walks all rows
     of a slice one level at a time."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, size: int = TREE_ROWS, seed: int = 17):
+    def __init__(self, rows: np.ndarray, counts: np.ndarray | None = None, trees: int = TREES, size: int = TREE_ROWS, seed: int = 17):
+        """``counts``: how many documents each row stands for (default: one)."""
         rng = np.random.default_rng(seed)
-        self.size = min(size, len(rows))
+        ends = np.cumsum(np.ones(len(rows), np.int64) if counts is None else counts)
+        self.size = int(min(size, ends[-1]))
         self.depth = int(np.ceil(np.log2(max(2, self.size))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)]
+        drawn = (rng.choice(ends[-1], self.size, replace=False) for _ in range(trees))
+        self.trees = [self._grow(rows[np.searchsorted(ends, d, side="right")], rng) for d in drawn]
 
     @staticmethod
     def unsuccessful(n) -> np.ndarray:
@@ -175,40 +179,45 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(float(self.unsuccessful(self.size)), 1e-9))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray) -> float:
+def threshold(scores: np.ndarray, good: np.ndarray, counts: np.ndarray | None = None) -> float:
     """The cheapest cut between labelled scores, half way between its
-    neighbours; above all scores if no cut is worth it."""
-    levels = np.unique(scores)
+    neighbours; above all scores if no cut is worth it. ``counts``: documents
+    per score (default: one)."""
+    counts = np.ones(len(scores), np.int64) if counts is None else counts
+    levels, at = np.unique(scores, return_inverse=True)
     cuts = np.append((levels[1:] + levels[:-1]) / 2, levels[-1])
-    beyond = lambda part: 1 - np.searchsorted(np.sort(part), cuts, side="right") / max(1, len(part))
-    cost = GOOD_WEIGHT * beyond(scores[good]) + 1 - beyond(scores[~good])
+
+    def beyond(part: np.ndarray) -> np.ndarray:
+        held = np.bincount(at[part], counts[part], len(levels))
+        return 1 - np.cumsum(held) / max(1, held.sum())
+
+    cost = GOOD_WEIGHT * beyond(good) + 1 - beyond(~good)
     return float(cuts[len(cost) - 1 - np.argmin(cost[::-1])])
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               sample_rows: int = SAMPLE_ROWS):
-    """Forest and threshold from a bounded sample of labelled documents
-    (labels.quality). Documents that the base rules reject do not count."""
-    sample = training_rows(labels, "quality", sample_rows, id_col, held_out=False)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(sample.withColumnRenamed(id_col, "doc_id")), "doc_id")
+def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """Forest and threshold from all labelled documents (labels.quality).
+    Documents that the base rules reject do not count."""
+    known = training_rows(labels, "quality", None, id_col, held_out=False).withColumnRenamed(id_col, "doc_id")
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
         stats = rule_stats(part.column("text"))
-        table = {k: pa.array(v) for k, v in stats.items()}
-        return pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), **table})
-
-    got = map_slices(rows.select("doc_id", "label", "text"), measure,
-                     f"doc_id {docs.schema[id_col].dataType.simpleString()}, label int, {STATS}, {EXTRA}").toPandas()
-    got = got.sort_values(["doc_id", *[c for c in got.columns if c != "doc_id"]], kind="stable")
-    stats = {c: got[c].to_numpy() for c in got.columns if c not in ("doc_id", "label")}
-    keep = ~base_failed(stats) if len(got) else np.zeros(0, bool)
-    space, good = features(stats)[keep], got["label"].to_numpy()[keep] == 1
+        kept = ~base_failed(stats)
+        space = features(stats)[kept]
+        return pa.RecordBatch.from_pydict({
+            "doc_id": part.column("doc_id").filter(pa.array(kept)), **{f"x{i}": pa.array(space[:, i]) for i in range(space.shape[1])}})
+
+    axes = ["x0", "x1", "x2"]
+    # The points meet the labels, not the texts: nothing long is shuffled.
+    points = map_slices(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull()), measure,
+                        f"doc_id {docs.schema[id_col].dataType.simpleString()}, x0 double, x1 double, x2 double")
+    got = points.join(known, "doc_id").groupBy(*axes, "label").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    got = got.sort_values([*axes, "label"], kind="stable")
+    space, good, n = got[axes].to_numpy(dtype=float), got["label"].to_numpy() == 1, got["n"].to_numpy(dtype=np.int64)
     if not good.any():
         return None, 1.0
-    forest = IsolationForest(space)
-    scores = forest.score(space)
-    return forest, threshold(scores, good)
+    forest = IsolationForest(space, n)
+    return forest, threshold(forest.score(space), good, n)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -359,3 +359,26 @@ def test_words_inside_an_address_are_no_context():
     assert [s for s in pii.find_spans(plain) if s[0] == "secret"] == []
     assert pii.without_spans("ab@cd.ef x 1.2.3.4", [("email", 0, 8), ("ip", 11, 18)]) == " " * 9 + "x" + " " * 8
     assert pii.without_spans("abcdef", [("card", 0, 4), ("phone", 2, 5)]) == "     f"
+
+
+def test_quality_threshold_comes_from_all_labelled_rows(spark):
+    """30,000 labelled documents of few different texts: each counts."""
+    ordinary, junk = "word " * 60, "w#rd$ " * 60
+    ordinary, junk = (" ".join(f"{w}{i}" for i, w in enumerate(t.split())) for t in (ordinary, junk))
+    docs = spark.range(30_000).selectExpr("id AS doc_id", f"IF(id % 100 = 0, '{junk}', '{ordinary}') AS text")
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "IF(id % 100 = 0, 0, 1) AS quality")
+    counted = []
+    held = quality_rules.threshold
+
+    def watched(scores, good, counts=None):
+        counted.append(int(len(scores) if counts is None else counts.sum()))
+        return held(scores, good, counts)
+
+    quality_rules.threshold = watched
+    try:
+        forest, limit = quality_rules.fit_forest(docs, labels)
+    finally:
+        quality_rules.threshold = held
+    assert counted == [30_000]
+    verdict = quality_rules.apply_rules(docs, labels).groupBy("kept").count().collect()
+    assert {r["kept"]: r["count"] for r in verdict} == {True: 29_700, False: 300}
