@@ -71,3 +71,22 @@ def test_a_group_that_is_too_large_is_an_error(spark):
                                  "userId int, movieId int, ALS_score double, avg_rating double, rating_count long, label double")
     with pytest.raises(ValueError, match="150 rows"):
         train_pairwise(rows, n_trees=1)
+
+
+def test_packed_rounds_equal_rows(spark):
+    """Gradients, metrics and sampling of packed groups are those of the rows;
+    a round shuffles cells only."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from marquee.operators.pairwise import pair_terms, row_bucket, with_pair_gradients
+    rng = np.random.default_rng(2)
+    rows = [(u, float(rng.integers(1, 4)), float(np.round(rng.normal(), 1)), int(rng.integers(-2**62, 2**62))) for u in range(60) for _ in range(u % 9)]
+    df = spark.createDataFrame(rows, "userId int, label double, score double, rid long")
+    got = with_pair_gradients(df, metrics=True).select("*", (F.abs(F.xxhash64("rid", F.lit(47))) % 10000).alias("bucket")).toPandas()
+    want = got.sort_values("userId", kind="stable")
+    sizes = want.groupby("userId").size().to_numpy()
+    terms = pair_terms(sizes, want["label"].to_numpy(), want["score"].to_numpy(), True)
+    for c in ("g", "h", "_pn", "_pok", "_ploss"):
+        assert np.allclose(terms[c], want[c].to_numpy(dtype=float), atol=1e-12), c
+    assert (row_bucket(want["rid"].to_numpy(), 47) == want["bucket"].to_numpy()).all()
