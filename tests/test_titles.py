@@ -182,4 +182,5 @@ def test_only_possible_titles_leave_the_texts(spark):
     found = {(r["tid"], r["key"]) for r in plan.collect()}
     known = {t for t in titles if len(t) > 4}
     assert {(str(i), t) for i, x in enumerate(texts) for t in known if t in x} <= found
-    assert len(found) < 200
+    # The filter lets pass fewer than one in a thousand positions here.
+    assert len(found) < sum(map(len, texts + noise)) / 1000
