@@ -439,4 +439,5 @@ def load(shards: DataFrame, with_ids: bool = False) -> DataFrame:
 
     docs = shards.select("part", "first", "doc_ids", "counts", "blocks").mapInArrow(
         run, f"part int, doc_id {kind}, start long, n_tokens long, ids_crc32 long{', ids array<int>' * with_ids}")
-    return docs.join(bases, "part").withColumn("start", F.col("start") + F.col("base")).drop("part", "base")
+    # Hinted, as a shuffle of the documents for this join would decode them twice.
+    return docs.join(F.broadcast(bases), "part").withColumn("start", F.col("start") + F.col("base")).drop("part", "base")

@@ -322,6 +322,20 @@ def test_block_round_trips_and_damage():
         token_store.pack([np.array([70_000])])
 
 
+def test_token_store_decodes_once(spark):
+    """The starts of partitions are broadcast whatever the session allows: no
+    shuffle of decoded documents."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = token_store.load(token_store.store(make_docs(spark, [(1, "one two"), (2, None)])))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert [(r["doc_id"], r["start"]) for r in found.orderBy("doc_id").collect()][0] == (1, 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_token_files(spark, awkward, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
