@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from marquee.operators import als as als_ops
 from marquee.operators import clean, crossfit, retrieve
-from marquee.operators.features import ranker_features_from_parts
-from marquee.operators.hybrid import build_hybrid
+from marquee.operators.features import ranker_features, ranker_features_from_parts
+from marquee.operators.hybrid import build_hybrid, build_ranking
 from marquee.sources import adapter
 
 RATINGS = "userId int, movieId int, rating float, timestamp long"
@@ -109,3 +109,20 @@ def test_fits_of_all_folds_run_side_by_side(spark, monkeypatch):
                                    "userId int, movieId int, rating float, genres string, tag string")
     found = crossfit.out_of_fold_candidates(hybrid, 3, 4, max_iter=1)
     assert {r["fold"] for r in found.select("fold").collect()} <= {0, 1, 2} and found.groupBy("userId").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_only_first_candidates_meet_the_labels(spark, conf):
+    """A user's candidates are cut to k before the joins; candidates given twice,
+    null and NaN scores, null users and items at the cut."""
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(1, 10, 0.5), (1, 10, 0.5), (1, 10, 0.5), (1, 11, None), (1, 12, float("nan")), (1, None, 0.5), (None, 10, 0.5), (None, 10, None), (2, 11, -1.0), (2, 12, None)]
+    candidates = spark.createDataFrame(rows, "userId int, movieId int, ALS_score double")
+    hybrid = spark.createDataFrame([(1, 10, 4.0, "A", "x"), (1, 10, 2.0, "A", "y"), (1, 11, 3.0, None, "z"), (2, 12, 1.0, "B", "x")],
+                                   "userId int, movieId int, rating float, genres string, tag string")
+    for k in (1, 2, 4, 20):
+        got = sorted(map(repr, ranker_features_from_parts(candidates, hybrid, k).collect()))
+        assert got == sorted(map(repr, ranker_features(build_ranking(candidates, hybrid), k).select(
+            "userId", "movieId", "ALS_score", "avg_rating", "rating_count", "label").collect()))
+    lines = plan(ranker_features_from_parts(candidates, hybrid, 2)).splitlines()
+    joins = [i for i, line in enumerate(lines) if "Join" in line]
+    assert any("WindowGroupLimit" in line for line in lines[joins[-1]:])
