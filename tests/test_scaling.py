@@ -11,6 +11,7 @@ from marquee.operators import als as als_ops
 from marquee.operators import clean, crossfit, retrieve
 from marquee.operators.features import ranker_features, ranker_features_from_parts
 from marquee.operators.hybrid import build_hybrid, build_ranking
+from marquee.operators.rank import enrich_with_movies
 from marquee.sources import adapter
 
 RATINGS = "userId int, movieId int, rating float, timestamp long"
@@ -126,3 +127,29 @@ def test_only_first_candidates_meet_the_labels(spark, conf):
     lines = plan(ranker_features_from_parts(candidates, hybrid, 2)).splitlines()
     joins = [i for i, line in enumerate(lines) if "Join" in line]
     assert any("WindowGroupLimit" in line for line in lines[joins[-1]:])
+
+
+def test_intents_are_resolved_without_a_shuffle_by_intent(spark):
+    """Items without an id or genres; a seed that is all there is; no item at all."""
+    scores = spark.createDataFrame([(1, "A", 3.0, 1.0), (2, "A|B", 2.0, 2.0), (None, "A", 9.0, 9.0), (3, None, 1.0, 5.0), (2, "B", 2.0, 2.0)],
+                                   "movieId int, genres string, score_title double, score_genre double")
+    intents = spark.createDataFrame([("s", 1, "title", "a", ["a"]), ("g", None, "genre", "a", ["a"]), ("w", 2, "title", "b", ["b"]), ("n", None, "genre", "x", ["x"])],
+                                    "ikey string, seed_id int, mode string, rkey string, req array<string>")
+    found = retrieve.resolve_intents(intents, scores, 3)
+    assert "hashpartitioning(ikey" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("g", 1, 1, None, "A", 9.0), ("g", 1, 2, 2, "A|B", 2.0), ("g", 1, 3, 1, "A", 1.0),
+        ("n", 3, 1, None, "A", 9.0), ("n", 3, 2, 3, None, 5.0), ("n", 3, 3, 2, "A|B", 2.0),
+        ("s", 1, 1, 2, "A|B", 2.0), ("w", 3, 1, 1, "A", 3.0), ("w", 3, 2, 3, None, 1.0)]
+    assert retrieve.resolve_intents(intents, scores.limit(0), 3).count() == 0
+
+
+def test_ranked_rows_are_dealt_once_by_group(spark, conf):
+    """A movie ranked twice, one named twice in the catalog, unknown and null ones."""
+    ranked = spark.createDataFrame([("g", 1, 7, "A", 5.0, 1), ("g", 2, 7, "B", 4.0, 1), ("g", 3, 8, "A", 3.0, 1), ("g", 4, None, "A", 2.0, 1), ("h", 1, 9, None, 1.0, 3)],
+                                   "g string, rank int, movieId int, genres string, score double, stage int")
+    movies = spark.createDataFrame([(7, "T", "C"), (8, "V", "C"), (8, "U", "D"), (None, "N", "N"), (5, "W", "C")], "movieId int, title string, genres string")
+    found = enrich_with_movies(ranked, movies, ["g"]).select("g", "rank", "movieId", "title", "genres", "score", "stage")
+    assert plan(found).count("Exchange hashpartitioning(g") == 1
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted([
+        ("g", 1, 7, "T", "C", 5.0, 1), ("g", 2, 8, "U", "D", 3.0, 1), ("g", 3, None, None, None, 2.0, 1), ("h", 1, 9, None, None, 1.0, 3)], key=repr)
