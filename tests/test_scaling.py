@@ -153,3 +153,8 @@ def test_ranked_rows_are_dealt_once_by_group(spark, conf):
     assert plan(found).count("Exchange hashpartitioning(g") == 1
     assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted([
         ("g", 1, 7, "T", "C", 5.0, 1), ("g", 2, 8, "U", "D", 3.0, 1), ("g", 3, None, None, None, 2.0, 1), ("h", 1, 9, None, None, 1.0, 3)], key=repr)
+
+
+def test_edge_tables_are_written_once(small):
+    assert "Join" not in plan(small.edge_hybrid) and "Join" not in plan(small.edge_item_scores)
+    assert small.edge_item_scores is small.edge_item_scores
