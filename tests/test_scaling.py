@@ -158,3 +158,16 @@ def test_ranked_rows_are_dealt_once_by_group(spark, conf):
 def test_edge_tables_are_written_once(small):
     assert "Join" not in plan(small.edge_hybrid) and "Join" not in plan(small.edge_item_scores)
     assert small.edge_item_scores is small.edge_item_scores
+
+
+def test_rows_per_seed_are_spread(spark):
+    """One genre set of many seeds is the work of many tasks; null ids, a set
+    without seeds and one without candidates, rows that come twice."""
+    seeds = [("a", s) for s in range(40)] + [("b", 1), ("c", None), ("d", 3)]
+    items = [("a", m, "G") for m in range(60)] + [("a", 7, "H"), ("a", 7, "H"), ("a", None, "G"), ("b", 1, None), ("b", 2, None), ("c", 5, "G"), ("e", 1, "G")]
+    found = retrieve.rows_per_seed(spark.createDataFrame(seeds, "rkey string, seed_id int"),
+                                   spark.createDataFrame(items, "rkey string, movieId int, genres string"), tasks=12)
+    want = [(k, s, m, g) for k, s in seeds for x, m, g in items if k == x and None not in (s, m) and m != s]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    used = found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(used) > 6 and max(r["n"] for r in used) < len(want) / 2
