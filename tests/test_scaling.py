@@ -160,6 +160,42 @@ def test_edge_tables_are_written_once(small):
     assert small.edge_item_scores is small.edge_item_scores
 
 
+def test_tags_are_shuffled_before_they_are_exploded(spark, conf):
+    """Rows of nulls and repeats give the hybrid table that the tags themselves give."""
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    lines = spark.createDataFrame(
+        [(1, 1, 4.0, True, "a", "o"), (1, 1, 3.0, True, "a", None), (1, 2, 2.0, False, "r", "f"), (None, 1, 2.0, True, "n", "o"),
+         (2, None, 1.0, None, "a", "o"), (1, 1, 4.0, True, "a", "o"), (3, 1, None, True, None, None), (3, 2, 5.0, True, None, None)],
+        "userId int, movieId int, rating float, tagged boolean, flag string, status string")
+    movies = spark.createDataFrame([(1, "A", "X"), (2, "B", None)], "movieId int, title string, genres string")
+    ratings = adapter.ratings_of(lines)
+    found = build_hybrid(ratings, movies, adapter.dealt_tags_of(lines), dealt_tags=True)
+    want = build_hybrid(ratings, movies, adapter.tags_of(lines))
+    text = plan(found)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.count() == 13
+    assert "Exchange hashpartitioning(userId" in text[text.index("Generate explode"):]
+    # Ratings, tags and the two sides of the join with the movies; the dedup adds none.
+    assert text.count("Exchange hashpartitioning") == 4
+
+
+def test_stand_in_is_dealt_once_by_user(spark, conf):
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    ratings = spark.createDataFrame([(1, 1, 4.0), (1, 1, 2.0), (1, 2, 3.0), (1, 3, 1.0), (None, 1, 2.0), (2, None, None), (2, 5, None), (2, 6, 1.0)],
+                                    "userId int, movieId int, rating float")
+    found = adapter.als_standin(ratings, 2)
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [
+        (1, 1, 3.0), (1, 2, 3.0), (None, 1, 2.0), (2, 6, 1.0), (2, None, None)]))
+
+
+def test_derived_tables_carry_no_times(spark):
+    """Ratings and tags keep their times; what is written for derived tables has none."""
+    t = adapter.driver_tables(spark, "/root/testdata/sf0.001", reuse=False)
+    assert "timestamp" not in t.untimed_lines.columns and "rated_lines" not in t._cache
+    assert "timestamp" in t.ratings.columns and "timestamp" in t.tags.columns
+    assert t.untimed_lines is t.rated_lines
+
+
 def test_rows_per_seed_are_spread(spark):
     """One genre set of many seeds is the work of many tasks; null ids, a set
     without seeds and one without candidates, rows that come twice."""
