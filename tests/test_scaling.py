@@ -196,6 +196,20 @@ def test_derived_tables_carry_no_times(spark):
     assert t.untimed_lines is t.rated_lines
 
 
+def test_joins_of_small_partitions_are_not_sorted(spark, conf):
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        adapter.fit_session(spark, 1 << 20)
+        assert conf.get(name) == str(adapter.TASK_BYTES)
+        conf.set(name, "64m")  # a session that allows more keeps it
+        adapter.fit_session(spark, 1 << 20)
+        assert conf.get(name) == "64m"
+    finally:
+        conf.set(name, before)
+
+
 def test_rows_per_seed_are_spread(spark):
     """One genre set of many seeds is the work of many tasks; null ids, a set
     without seeds and one without candidates, rows that come twice."""
