@@ -55,3 +55,15 @@ def test_quality_lists_are_full(spark, monkeypatch):
     left = {r[0]: min(10, catalog - r[1]) for r in train.groupBy("userId").agg(F.countDistinct("movieId")).collect()}
     assert {r[0]: r[1] for r in seen["als"].groupBy("userId").count().collect()} == left
     assert seen["als"].join(train, ["userId", "movieId"]).count() == 0
+
+
+def test_only_wanted_rows_of_lists_are_written(spark):
+    """The rows of a fold are those of the whole lists, by a column over the pair."""
+    from marquee.operators.crossfit import fold_of
+    rng = np.random.default_rng(4)
+    frame = [spark.createDataFrame([(i, [float(x) for x in rng.random(3)]) for i in range(a, b)], FACTORS) for a, b in ((0, 25), (50, 110))]
+    whole = top_products(*frame, 9).rows
+    parts = [top_products(*frame, 9, where=fold_of(3) == f).rows for f in range(3)]
+    assert sorted(map(tuple, whole.collect())) == sorted(tuple(r) for p in parts for r in p.collect())
+    files = [p.inputFiles() for p in parts]
+    assert all(files) and all("movieId" in spark.read.parquet(*f).columns for f in files)
